@@ -11,23 +11,32 @@ from pyspark.sql import functions as F
 from tessella.plans.storage import stage
 
 
+FOREST_NODES = 500_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find per Arrow batch: each node that isn't its batch's root once, with the root."""
-    for batch in batches:
-        root: dict = {}
+    """Union-find within a task: each node that isn't a root once, with its root. Bounded: starts anew every FOREST_NODES nodes."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-        def find(x, root=root):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def found() -> pa.RecordBatch:
+        rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
 
+    for batch in batches:
         for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        found = [(x, r) for x in list(root) if (r := find(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+        if len(root) > FOREST_NODES:
+            yield found()
+            root.clear()
+    yield found()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -38,13 +47,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     given = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     given = stage(given, "edges")
-    now = stage(given.where("u <> v").mapInArrow(_forest, "u bigint, v bigint").distinct(), "stars")
-    before = None
+    # REBALANCE lets AQE make tasks of about the advisory size, so that a small graph is one task's union-find
+    now = stage(given.where("u <> v").hint("rebalance").mapInArrow(_forest, "u bigint, v bigint").distinct(), "stars")
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        if _is_star_forest(now):
             break
-        before = mark
         now = stage(_small_star(_large_star(now)), "stars")
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
@@ -53,6 +60,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return nodes.join(star, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
+def _is_star_forest(e: DataFrame) -> bool:
+    """No node has two parents, and no parent has one."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 OR (c = 1 AND p = 1)")
+    return odd.isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
