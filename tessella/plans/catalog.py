@@ -7,7 +7,7 @@ import importlib
 from tessella.queries import ORACLE, QUERIES
 
 FLAGSHIP = "flagship_group_labels"
-MODULES = ("stencil", "spatial", "sequences", "graphs")
+MODULES = ("stencil", "spatial", "sequences", "graphs", "temporal")
 
 
 def _load() -> None:

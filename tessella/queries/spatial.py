@@ -43,7 +43,7 @@ def knn_candidates(spark, sf):
     return J.knn_in_range(d.withColumn("frame", F.col("frame") + 1), d, 3, 50**0.5)
 
 
-@query(D + f""" SELECT a.t AS frame, a.id AS p, arg_min(b.id, ({D2})::BIGINT * 100000000 + b.id) AS q, min({D2}) AS d2
+@query(D + f""" SELECT a.t AS frame, a.id AS p, arg_min(b.id, ({D2}, b.id)) AS q, min({D2}) AS d2
 FROM dots a JOIN dots b ON b.t = a.t - 1 GROUP BY ALL""")
 def nearest_dot_prev_frame(spark, sf):
     d = framed(spark, sf)
