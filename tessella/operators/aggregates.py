@@ -26,7 +26,8 @@ def principal_axes(df: DataFrame) -> DataFrame:
     """Adds ``laxis, saxis`` (variances along the axes) and ``theta`` (long axis, in (-pi/2, pi/2]) from scatter columns, in closed form."""
     root = F.sqrt((F.col("sxx") - F.col("syy")) * (F.col("sxx") - F.col("syy")) + 4 * F.col("sxy") * F.col("sxy"))
     total = F.col("sxx") + F.col("syy")
-    theta = F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")) / 2
+    level = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(c)  # noqa: E731  a rounding error mustn't turn the axis around
+    theta = F.atan2(level(2 * F.col("sxy")), level(F.col("sxx") - F.col("syy"))) / 2
     return df.withColumns({"laxis": (total + root) / 2, "saxis": (total - root) / 2, "theta": theta})
 
 

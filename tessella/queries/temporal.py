@@ -16,6 +16,7 @@ from tessella.sources.bindings import SQL, contours, dots, features, pixels, tab
 
 P, D, C = f"WITH {SQL['pixels']}", f"WITH {SQL['dots']}", f"WITH {SQL['contours']}"
 
+THETA = "atan2(CASE WHEN abs(2 * sxy) < 1e-9 THEN 0 ELSE 2 * sxy END, CASE WHEN abs(sxx - syy) < 1e-9 THEN 0 ELSE sxx - syy END) / 2"
 BRANCHES = COMP + f""", p AS (SELECT id, x, y, t AS frame, comp AS branch FROM dots JOIN comp USING (id)),
 m AS (SELECT a.branch AS a, b.branch AS b, a.id, min({D2}) AS d2 FROM p a JOIN p b ON b.frame = a.frame + 1 GROUP BY ALL),
 k AS (SELECT b.branch AS b, a.branch AS a, b.id, min({D2}) AS d2 FROM p a JOIN p b ON b.frame = a.frame + 1 GROUP BY ALL),
@@ -37,7 +38,7 @@ def flagship_group_labels(spark, sf):
 
 @query(BRANCHES + f""" SELECT frame, branch, {fixed('cx')} AS cx, {fixed('cy')} AS cy, {fixed('vx')} AS vx, {fixed('vy')} AS vy, n,
  (SELECT count(*) FROM link WHERE asc_ = v.branch) AS n_desc, (SELECT count(*) FROM link WHERE link.branch = v.branch) AS n_asc,
- {fixed('(sxx + syy + sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS laxis, {fixed('(sxx + syy - sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS saxis, {fixed('atan2(2 * sxy, sxx - syy) / 2')} AS theta FROM v""")
+ {fixed('(sxx + syy + sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS laxis, {fixed('(sxx + syy - sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS saxis, {fixed(THETA)} AS theta FROM v""")
 def branch_table(spark, sf):
     b = T.branch_table(framed(spark, sf))
     return b.select("frame", "branch", *[fx(c, c) for c in ("cx", "cy", "vx", "vy")], "n", "n_desc", "n_asc", *[fx(c, c) for c in ("laxis", "saxis", "theta")])
@@ -78,7 +79,7 @@ def moments(spark, sf):
 SCATTER = D + ", s AS (SELECT t AS frame, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM dots GROUP BY t)"
 
 
-@query(SCATTER + f" SELECT frame, n, {fixed('cx')} AS cx, {fixed('cy')} AS cy, {fixed('(sxx + syy + sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS laxis, {fixed('(sxx + syy - sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS saxis, {fixed('atan2(2 * sxy, sxx - syy) / 2')} AS theta FROM s")
+@query(SCATTER + f" SELECT frame, n, {fixed('cx')} AS cx, {fixed('cy')} AS cy, {fixed('(sxx + syy + sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS laxis, {fixed('(sxx + syy - sqrt((sxx - syy) * (sxx - syy) + 4 * sxy * sxy)) / 2')} AS saxis, {fixed(THETA)} AS theta FROM s")
 def pca_axes(spark, sf):
     s = A.principal_axes(framed(spark, sf).groupBy("frame").agg(*A.scatter()))
     return s.select("frame", "n", *[fx(c, c) for c in ("cx", "cy", "laxis", "saxis", "theta")])
@@ -214,8 +215,8 @@ def affine_registration(spark, sf):
     return K.plane_fit(p.join(enough, "contour_id", "left_semi"), ["contour_id"], F.col("x"), F.col("y"), F.col("u")).select("contour_id", fx("b", "b"), fx("c", "c"))
 
 
-@query(C + f""", s AS (SELECT contour_id, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM contours GROUP BY contour_id HAVING count(*) >= 2)
-SELECT a.contour_id, {fixed('b.cx - a.cx')} AS tx, {fixed('b.cy - a.cy')} AS ty, {fixed('(atan2(2 * b.sxy, b.sxx - b.syy) - atan2(2 * a.sxy, a.sxx - a.syy)) / 2')} AS turn, {fixed('sqrt((b.sxx + b.syy) / (a.sxx + a.syy))')} AS scale FROM s a JOIN s b ON b.contour_id = a.contour_id + 1""")
+@query(C + f""", s AS (SELECT contour_id, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM contours GROUP BY contour_id HAVING count(*) >= 2), r AS (SELECT *, {THETA} AS theta FROM s)
+SELECT a.contour_id, {fixed('b.cx - a.cx')} AS tx, {fixed('b.cy - a.cy')} AS ty, {fixed('b.theta - a.theta')} AS turn, {fixed('sqrt((b.sxx + b.syy) / (a.sxx + a.syy))')} AS scale FROM r a JOIN r b ON b.contour_id = a.contour_id + 1""")
 def procrustes_registration(spark, sf):
     s = A.principal_axes(contours(spark, sf).groupBy("contour_id").agg(*A.scatter()).where("n >= 2"))
     b = s.select((F.col("contour_id") - 1).alias("contour_id"), *[F.col(c).alias(f"{c}2") for c in ("cx", "cy", "sxx", "syy", "theta")])
