@@ -5,8 +5,8 @@ excess by weight" is target = min(c, level * w). Sources ordered by c / w are cl
 sums give the level behind each prefix, and the first prefix whose level fits the next source is the one.
 
 Sampling: a document is taken floor(target / size) times; the fractional repetition goes to documents in
-the order of a seeded hash until the rest of the target is used up. The cut-off is found in two levels (sums
-per hash bucket, then rows of the one bucket that holds the cut), so that a hot source is never in one task.
+the order of a seeded hash until the rest of the target is used up. The cut-off is found from sums per
+hash bucket (two digits, then four) and from the rows of the one bucket that holds it: a hot source is never in one task.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     sources = sources.select("source", "source_size", "target", whole.alias("whole"))
     sources = stage(sources.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
-    # the bucket in which the running size passes ``extra``
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-    cut = buckets.withColumn("upto", running).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    cut = cut.where("upto > extra AND upto - size <= extra").groupBy("source", "extra").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("at"))
-    cut = cut.select(F.col("source").alias("s"), "extra", "at.bucket", "at.before")
-    inside = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
+    # the bucket in which the running size passes ``extra``, two digits at a time: no window has more than 256 rows a source
+    cut = sources.select(F.col("source").alias("s"), "extra", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"))
+    for digits in (2, 4):
+        part = F.substring("bucket", 1, digits)
+        inner = buckets.join(cut, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").startswith(F.col("prefix")))
+        inner = inner.groupBy("s", "extra", "before", part.alias("prefix")).agg(F.sum("size").alias("size"))
+        inner = inner.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("prefix")))
+        cut = stage(inner.where("upto > extra AND upto - size <= extra").select("s", "extra", "prefix", (F.col("upto") - F.col("size")).alias("before")), "cuts")
+    cut = cut.withColumnRenamed("prefix", "bucket")
+    inside = rows.withColumn("b4", bucket).join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("b4") == F.col("bucket")))
     tickets = inside.groupBy("source", "bucket", "extra", "before", "ticket").agg(F.sum("size").alias("size"))
     tickets = tickets.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("ticket")))
     # take a ticket if the words taken with it are nearer to the target than without it
@@ -89,7 +93,8 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     # none of the cut bucket: everything before the bucket stays; no cut (target is all): nothing extra beyond it
     ends = ends.select("s", F.coalesce("ticket", "bucket").alias("cut_ticket"))
     plan = sources.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return rows, plan.select("source", "source_size", "target", "whole", F.coalesce("cut_ticket", F.lit("")).alias("cut_ticket"))
+    # written, so that its size is known: a small plan is broadcast to the documents, a large one is not
+    return rows, stage(plan.select("source", "source_size", "target", "whole", F.coalesce("cut_ticket", F.lit("")).alias("cut_ticket")), "plan")
 
 
 def repeats(ticket_col: Column) -> Column:
