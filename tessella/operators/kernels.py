@@ -302,7 +302,7 @@ def edge_tracks(mag, dx, dy, high: float, low: float, min_length: int = 1) -> li
         along = np.arctan2(-dx[y, x], dy[y, x])
         one = walk(x, y, np.cos(along), np.sin(along))
         used[y, x] = False
-        along = np.arctan2(dx[y, x], dy[y, x])
+        along = np.arctan2(dx[y, x], -dy[y, x])  # the other way
         other = walk(x, y, np.cos(along), np.sin(along))
         track = other[:0:-1] + one
         for X, Y in track:
@@ -523,13 +523,20 @@ def offset_polygon(polygon, until: float) -> list[list[tuple[float, float]]]:
 
 
 def _tidy(ring: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    for q in ring:
-        if not out or np.hypot(q[0] - out[-1][0], q[1] - out[-1][1]) > 1e-7:
-            out.append(q)
-    while len(out) > 1 and np.hypot(out[0][0] - out[-1][0], out[0][1] - out[-1][1]) <= 1e-7:
-        out.pop()
-    return [q for k, q in enumerate(out) if len(out) < 3 or abs(_turn(out[k - 1], q, out[(k + 1) % len(out)])) > 1e-10]
+    """Without repeated points, points on a line and spikes; each can leave others, so until nothing changes."""
+    while True:
+        out: list[tuple] = []
+        for q in ring:
+            if not out or np.hypot(q[0] - out[-1][0], q[1] - out[-1][1]) > 1e-7:
+                out.append(q)
+        while len(out) > 1 and np.hypot(out[0][0] - out[-1][0], out[0][1] - out[-1][1]) <= 1e-7:
+            out.pop()
+        flat = next((k for k, q in enumerate(out) if len(out) > 2 and abs(_turn(out[k - 1], q, out[(k + 1) % len(out)])) <= 1e-10), None)
+        if flat is not None:
+            del out[flat]
+        elif len(out) == len(ring):
+            return out
+        ring = out
 
 
 def _speeds(p: np.ndarray) -> np.ndarray:
