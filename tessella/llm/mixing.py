@@ -5,7 +5,7 @@ excess by weight" is target = min(c, level * w). Sources ordered by c / w are cl
 sums give the level behind each prefix, and the first prefix whose level fits the next source is the one.
 
 Sampling: a document is taken floor(target / size) times; the fractional repetition goes to documents in
-the order of a seeded hash until the rest of the target is used up. The cut-off is found from sums per
+the order of a seeded hash while they fit into the rest of the target, and to one more whose size comes nearest to what is left. The cut-off is found from sums per
 hash bucket (two digits, then four) and from the rows of the one bucket that holds it: a hot source is never in one task.
 """
 
@@ -22,6 +22,7 @@ from tessella.plans.storage import stage
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20240
+PICK_FROM = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,16 +59,18 @@ def water_fill(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, source, size, ticket; sources: source, source_size, target, whole, cut_ticket).
+    """(documents: id, source, size, ticket; sources: source, source_size, target, whole, boundary, pick).
 
     Null text: size 0. Null source: a source of its own, last in order. A source of size 0 has target 0.
-    A document is taken ``whole`` times, once more if its ticket is ``cut_ticket`` at most. The cut is where
-    the source's taken words come nearest to its target, documents of equal ticket (repeated ids) together.
+    A document is taken ``whole`` times, and once more if its ticket is before ``boundary`` or is ``pick``: documents before the boundary
+    fit into the fractional part of the target, the pick comes nearest to what they leave (least ticket on ties, none if it would only
+    widen the gap). It is looked for from the boundary on, up to the end of the two-digit bucket by which ``PICK_FROM`` rows have passed.
+    Documents of equal ticket (repeated ids) are taken together.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), ticket(F.col(id_col), seed).alias("ticket"))
     rows = stage(rows, "sizes")
     bucket = F.substring("ticket", 1, 4)
-    buckets = stage(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "size-buckets")
+    buckets = stage(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n")), "size-buckets")
     sizes = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     nth = reduce(lambda c, x: F.when(F.col("rank") % len(weights) == x[0], F.lit(x[1])).otherwise(c), enumerate(weights), F.lit(0))
@@ -87,26 +90,33 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     inside = rows.withColumn("b4", bucket).join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("b4") == F.col("bucket")))
     tickets = inside.groupBy("source", "bucket", "extra", "before", "ticket").agg(F.sum("size").alias("size"))
     tickets = tickets.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("ticket")))
-    # take a ticket if the words taken with it are nearer to the target than without it
-    taken = F.col("upto") - F.col("size") / F.lit(2.0) <= F.col("extra")
-    ends = tickets.groupBy(F.col("source").alias("s")).agg(F.max(F.when(taken, F.col("ticket"))).alias("ticket"), F.first("bucket").alias("bucket"))
-    # none of the cut bucket: everything before the bucket stays; no cut (target is all): nothing extra beyond it
-    ends = ends.select("s", F.coalesce("ticket", "bucket").alias("cut_ticket"))
+    edge = tickets.where("upto > extra").groupBy(F.col("source").alias("s"), "extra").agg(F.min(F.struct("ticket", (F.col("upto") - F.col("size")).alias("taken"))).alias("at"))
+    edge = stage(edge.select("s", F.col("at.ticket").alias("boundary"), (F.col("extra") - F.col("at.taken")).alias("left")), "edges")
+    two = F.substring("bucket", 1, 2)
+    later = buckets.groupBy("source", two.alias("b")).agg(F.sum("n").alias("n")).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") >= F.substring("boundary", 1, 2)))
+    later = later.withColumn("passed", F.sum("n").over(Window.partitionBy("s").orderBy("b"))).groupBy("s", "boundary", "left").agg(F.coalesce(F.min(F.when(F.col("passed") >= PICK_FROM, F.col("b"))), F.lit("ff")).alias("stop"))
+    later = stage(later, "edges")
+    near = rows.join(later, F.col("source").eqNullSafe(F.col("s")) & (F.col("ticket") >= F.col("boundary")) & (F.substring("ticket", 1, 2) <= F.col("stop")))
+    near = near.groupBy("s", "boundary", "left", "ticket").agg(F.sum("size").alias("size"))
+    ends = near.groupBy("s", "boundary", "left").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("gap"), "ticket")).alias("best"))
+    ends = ends.select("s", "boundary", F.when(F.col("best.gap") < F.col("left"), F.col("best.ticket")).alias("pick"))
     plan = sources.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
     # written, so that its size is known: a small plan is broadcast to the documents, a large one is not
-    return rows, stage(plan.select("source", "source_size", "target", "whole", F.coalesce("cut_ticket", F.lit("")).alias("cut_ticket")), "plan")
+    return rows, stage(plan.select("source", "source_size", "target", "whole", F.coalesce("boundary", F.lit("")).alias("boundary"), F.coalesce("pick", F.lit("")).alias("pick")), "plan")
 
 
-def repeats(ticket_col: Column) -> Column:
-    return F.col("whole") + F.when(ticket_col <= F.col("cut_ticket"), 1).otherwise(0)
+def repeats(ticket_col: Column, plan: str = "") -> Column:
+    """How often a document is taken; ``plan`` is the prefix of the plan's columns."""
+    more = (ticket_col < F.col(f"{plan}boundary")) | (ticket_col == F.col(f"{plan}pick"))
+    return F.col(f"{plan}whole") + F.when(more, 1).otherwise(0)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it."""
     _, plan = plan_mix(df, id_col, text_col, source_col, seed=seed)
-    plan = plan.select(F.struct("source", "whole", "cut_ticket").alias("_mix"))
+    plan = plan.select(F.struct("source", "whole", "boundary", "pick").alias("_mix"))
     joined = df.join(plan, F.col(source_col).eqNullSafe(F.col("_mix.source")))
-    times = F.col("_mix.whole") + F.when(ticket(F.col(id_col), seed) <= F.col("_mix.cut_ticket"), 1).otherwise(0)
+    times = repeats(ticket(F.col(id_col), seed), "_mix.")
     return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*df.columns)
 
 
@@ -129,13 +139,15 @@ o AS (SELECT *, row_number() OVER q AS nth,
 f AS (SELECT min(nth) AS n0, arg_min(level, nth) AS l0 FROM o WHERE level * weight <= cap),
 t AS (SELECT source, source_size, CASE WHEN n0 IS NULL OR nth < n0 THEN cap::DOUBLE ELSE l0 * weight END AS target FROM o LEFT JOIN f ON true),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-k AS (SELECT source, ticket, sum(size) AS size FROM d GROUP BY source, ticket),
+k AS (SELECT source, ticket, substr(ticket, 1, 2) AS b, sum(size) AS size, count(*) AS n FROM d GROUP BY source, ticket),
 u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ticket) AS upto FROM k),
-c AS (SELECT u.source, max(CASE WHEN upto - size <= target - whole * source_size AND upto - size / 2.0 <= target - whole * source_size
-                              THEN ticket END) AS cut
-      FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source
-      WHERE source_size > 0 AND target - whole * source_size < source_size GROUP BY u.source)
+c AS (SELECT u.source, min(ticket) AS boundary, arg_min(target - whole * source_size - (upto - size), ticket) AS rest
+      FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source WHERE upto > target - whole * source_size GROUP BY u.source),
+q AS (SELECT c.*, coalesce((SELECT min(b) FROM (SELECT k.b, sum(sum(k.n)) OVER (ORDER BY k.b) AS passed FROM k
+                            WHERE k.source IS NOT DISTINCT FROM c.source AND k.b >= substr(c.boundary, 1, 2) GROUP BY k.b) WHERE passed >= 1000), 'ff') AS stop FROM c),
+g AS (SELECT q.source, boundary, rest, min({'gap': abs(k.size - rest), 'ticket': k.ticket}) AS best
+      FROM q JOIN k ON k.source IS NOT DISTINCT FROM q.source AND k.ticket >= boundary AND k.b <= stop GROUP BY ALL)
 SELECT d.doc_id, d.size, e.source_size, e.target,
-       (d.size * (e.whole + CASE WHEN d.ticket <= coalesce(c.cut, '') THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+       (d.size * (e.whole + CASE WHEN d.ticket < g.boundary OR (g.best.gap < g.rest AND d.ticket = g.best.ticket) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source
 """
