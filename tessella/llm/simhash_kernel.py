@@ -70,9 +70,10 @@ def fingerprints(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
     runs = -(-shingles[full] // 255)
     run_first = np.repeat(first_shingle[full], runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
     sums = []
-    for lo in range(0, len(run_first), 4096):  # 4096 runs: 64 MB of bits at most
-        part = run_first[lo : lo + 4096]
-        stop = run_first[lo + 4096] if lo + 4096 < len(run_first) else total
+    step = 1024  # runs at a time: 16 MB of bits at most
+    for lo in range(0, len(run_first), step):
+        part = run_first[lo : lo + step]
+        stop = run_first[lo + step] if lo + step < len(run_first) else total
         bits = np.unpackbits(hashes[part[0] : stop].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         sums.append(np.add.reduceat(bits.view(np.uint64), part - part[0], axis=0).view(np.uint8))
     ones = np.add.reduceat(np.concatenate(sums).astype(np.int64), np.cumsum(runs) - runs, axis=0)
@@ -81,7 +82,7 @@ def fingerprints(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
     return out
 
 
-def sliced(texts: pa.Array, most: int = 2 << 20):
+def sliced(texts: pa.Array, most: int = 1 << 20):
     """Slices of a string array with about ``most`` bytes at most; a longer text is a slice of its own."""
     texts = texts.cast(pa.large_string()).fill_null("")
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
