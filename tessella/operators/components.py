@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.storage import stage
+from tessella.plans.storage import release, stage
 
 
 FOREST_NODES = 500_000
@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if _is_star_forest(now):
             break
-        now = stage(_small_star(_large_star(now)), "stars")
+        before, now = now, stage(_small_star(_large_star(now)), "stars")
+        release(before)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()

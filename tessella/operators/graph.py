@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
-from tessella.plans.storage import stage
+from tessella.plans.storage import release, stage
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def shortest_paths(edges: DataFrame, source: DataFrame, max_rounds: int = 200) -
         offers = fresh.join(e, fresh["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), F.col("src").alias("pred"))).alias("o"))
         both = known.drop("fresh").join(offers, "id", "full")
         better = F.col("o.d").isNotNull() & (F.col("d").isNull() | (F.col("o.d") < F.col("d")))
-        known = stage(both.select("id", F.when(better, F.col("o.d")).otherwise(F.col("d")).alias("d"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("fresh")), "sp")
+        before, known = known, stage(both.select("id", F.when(better, F.col("o.d")).otherwise(F.col("d")).alias("d"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("fresh")), "sp")
+        release(before)
     raise RuntimeError("no fixed point: the graph may have a negative cycle")
 
 
@@ -108,7 +109,8 @@ def all_pairs(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
             return now
         mark = new
         a, b = now.alias("a"), now.alias("b")
-        now = stage(a.join(b, F.col("a.dst") == F.col("b.src")).groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.min(F.col("a.d") + F.col("b.d")).alias("d")), "apsp")
+        before, now = now, stage(a.join(b, F.col("a.dst") == F.col("b.src")).groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.min(F.col("a.d") + F.col("b.d")).alias("d")), "apsp")
+        release(before)
     raise RuntimeError("no fixed point")
 
 

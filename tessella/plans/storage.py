@@ -43,15 +43,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete what ``stage`` wrote for ``df``; for rounds of a loop that nothing reads any more."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tessella/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _in_files(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return True
+    except AnalysisException:
+        return False
+
+
+def anchored(df: DataFrame) -> DataFrame:
+    """``df``, or a staged copy if its rows don't come straight from files: its row ids stay the same from scan to scan."""
+    return df if _in_files(df) else stage(df, "rows")
+
+
 def row_id(df: DataFrame) -> Column:
-    """A column that names each physical row of ``df``: file and row index of file sources, else a generated id.
+    """A column that names each physical row of an ``anchored`` table by file and row index, else a generated id.
 
-    Column pruning and later filters don't change it, so decisions made on a narrow projection can be
-    joined back to the wide rows, repeated rows included.
+    Column pruning and filters don't change it, so decisions made on a narrow projection can be joined back to
+    the wide rows, repeated rows included.
     """
-    try:
-        found = df.select("_metadata.file_path", "_metadata.row_index")
-        del found
+    if _in_files(df):
         return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        return F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row"))
