@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import table
-from tessella.plans.storage import row_id, stage
+from tessella.llm.tables import fresh, table
+from tessella.plans.storage import anchored, row_id, stage
 
 COUNTERS = 1024
 
@@ -71,8 +71,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, all columns. Only the ids of dropped rows are joined, never texts with texts."""
-    dropped = stage(exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("_rid")), "dropped")
-    return df.withColumn("_rid", row_id(df)).join(dropped, "_rid", "left_anti").drop("_rid")
+    df, rid = anchored(df), fresh(df, "_rid")
+    dropped = stage(exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias(rid)), "dropped")
+    return df.withColumn(rid, row_id(df)).join(dropped, rid, "left_anti").select(*df.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.simhash_kernel import sliced, string_buffers
-from tessella.llm.tables import table
+from tessella.llm.tables import fresh, table
 from tessella.plans.storage import stage
 
 ORDER = 3
@@ -197,21 +197,22 @@ def predictor(spark: SparkSession, trees: ContextTrees):
     return column
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df`` with a column ``_language``: struct(lang_pred, score), fitted on its own labelled rows.
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", name: str = "_language") -> DataFrame:
+    """``df`` with a column ``name``: struct(lang_pred, score), fitted on its own labelled rows.
 
     The score is the winner's posterior under equal priors. Null texts and texts without a letter are ``und``
     with score 0; so is every text if no row has a label. Of equal code lengths the first language by name wins.
     Repeated rows are predicted alike; other columns stay as they are.
     """
     trees = fit(labelled_sample(df, id_col, text_col, lang_col))
-    return df.withColumn("_language", predictor(df.sparkSession, trees)(F.col(text_col)))
+    return df.withColumn(name, predictor(df.sparkSession, trees)(F.col(text_col)))
 
 
 def keep_identified(df: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose language is determined with a posterior of ``min_score`` at least."""
-    found = identify(df)
-    return found.where((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= min_score)).drop("_language")
+    name = fresh(df, "_language")
+    found = identify(df, name=name)
+    return found.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= min_score)).select(*df.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

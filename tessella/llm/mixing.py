@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import table
+from tessella.llm.tables import fresh, table
 from tessella.plans.storage import stage
 
 WEIGHTS = (5, 2, 1)
@@ -114,10 +114,11 @@ def repeats(ticket_col: Column, plan: str = "") -> Column:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it."""
     _, plan = plan_mix(df, id_col, text_col, source_col, seed=seed)
-    plan = plan.select(F.struct("source", "whole", "boundary", "pick").alias("_mix"))
-    joined = df.join(plan, F.col(source_col).eqNullSafe(F.col("_mix.source")))
-    times = repeats(ticket(F.col(id_col), seed), "_mix.")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*df.columns)
+    name = fresh(df, "_mix")
+    plan = plan.select(F.struct("source", "whole", "boundary", "pick").alias(name))
+    joined = df.join(plan, F.col(source_col).eqNullSafe(F.col(f"{name}.source")))
+    times = repeats(ticket(F.col(id_col), seed), f"{name}.")
+    return joined.withColumn(name, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*df.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

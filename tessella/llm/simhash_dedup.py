@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.simhash_kernel import fingerprints, sliced
-from tessella.llm.tables import table
+from tessella.llm.tables import fresh, table
 from tessella.operators.components import connected_components
-from tessella.plans.storage import row_id, stage
+from tessella.plans.storage import anchored, row_id, stage
 
 RADIUS = 4
 WIDTH = 4
@@ -133,12 +133,13 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row of each group stays: that with the smallest id (of repeated ids, one). Rows without words are kept:
     they say nothing about being copies of each other. All columns; only ids of dropped rows are joined.
     """
-    found = near_groups(df, id_col, text_col)
+    df, rid = anchored(df), fresh(df, "_rid")
+    found = stage(near_groups(df, id_col, text_col), "groups")
     first = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(first).alias("best"))
     kept = best.select(F.col("best.rid").alias("rid"))
-    dropped = stage(found.where("fp <> 0").join(kept, "rid", "left_anti").select(F.col("rid").alias("_rid")), "dropped")
-    return df.withColumn("_rid", row_id(df)).join(dropped, "_rid", "left_anti").drop("_rid")
+    dropped = stage(found.where("fp <> 0").join(kept, "rid", "left_anti").select(F.col("rid").alias(rid)), "dropped")
+    return df.withColumn(rid, row_id(df)).join(dropped, rid, "left_anti").select(*df.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

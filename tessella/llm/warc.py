@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.tables import table
-from tessella.plans.storage import new_path, row_id, stage
+from tessella.plans.storage import anchored, new_path, row_id, stage
 
 SEGMENT = 16_384
 CHUNK = 8_192
@@ -120,8 +120,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     ident = F.md5(F.concat_ws(":", F.col("rid.file"), F.col("rid.row")))
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    all_rows = pages.withColumn("rid", row_id(pages)) if "rid" not in pages.columns else pages.withColumnRenamed("rid", "_own").withColumn("rid", row_id(pages))
-    all_rows = all_rows.select("rid", F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    pages = anchored(pages)
+    all_rows = pages.select(row_id(pages).alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     narrow = stage(all_rows.where(F.octet_length("payload") >= dedup_bytes).select("rid", "page_id", F.unhex(F.sha2("payload", 256)).alias("sha")), "payloads")
     first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "rid")).alias("first")
     groups = narrow.groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1").select("sha", "first")
