@@ -6,6 +6,9 @@ Shingles are ``width`` consecutive words joined by one space; shorter texts give
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,3 +94,14 @@ def sliced(texts: pa.Array, most: int = 1 << 20):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
         yield texts.slice(lo, hi - lo)
         lo = hi
+    give_back()
+
+
+_libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
