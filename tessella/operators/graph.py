@@ -236,13 +236,17 @@ def merge_events(edges: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def ancestors(links: DataFrame, depth: int) -> DataFrame:
-    """``id, gen, anc``: distinct ancestors up to ``depth`` generations (gen 0: the vertex itself) over links (id, asc)."""
+    """``id, gen, anc``: distinct ancestors up to ``depth`` generations (gen 0: the vertex itself) over links (id, asc).
+
+    Each generation is staged, so depth doesn't pile joins upon joins; it stops when a generation is empty.
+    """
+    links = stage(links.select("id", "asc").distinct(), "links")
     up = links.select(F.col("id").alias("anc"), "asc")
-    now = links.select("id").union(links.select("asc")).distinct().select("id", F.lit(0).alias("gen"), F.col("id").alias("anc"))
+    now = stage(links.select("id").union(links.select("asc")).distinct().select("id", F.lit(0).alias("gen"), F.col("id").alias("anc")), "ancestors")
     out = now
     for k in range(1, depth):
-        now = now.join(up, "anc").select("id", F.lit(k).alias("gen"), F.col("asc").alias("anc")).distinct()
+        now = stage(now.join(up, "anc").select("id", F.lit(k).alias("gen"), F.col("asc").alias("anc")).distinct(), "ancestors")
+        if now.isEmpty():
+            break
         out = out.union(now)
     return out
-
-
