@@ -3,12 +3,16 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 
+settings.register_profile("steady", deadline=None, derandomize=True)
+settings.load_profile("steady")
+
 
 @pytest.fixture(scope="session")
 def spark():
