@@ -268,12 +268,10 @@ def random_indices(spark, sf):
 @query(CAND + f""", w AS (SELECT a.p, a.q, b.p AS p2, b.q AS q2, exp(-((a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy)) / 1.125) AS dd, b.prob * 0.25 AS e FROM cand a JOIN cand b ON a.frame = b.frame AND a.p <> b.p AND abs(a.p - b.p) < 200 AND (a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy) <= 1.125)
 SELECT p, q, p2, q2, {fixed('e * dd / (e * dd + (1 - e) * 0.5)')} AS w FROM w""")
 def link_weights(spark, sf):
-    """Links of candidates of points with nearby ids."""
+    """Links of the candidates of all pairs of a frame's points whose velocities are within the distance. The SQL keeps pairs of nearby ids only."""
     c = stage(candidates(spark, sf), "candidates")
-    # ids in the same or the next bucket of 200, so that the id distance is part of the join key too
-    pts = c.select("frame", F.col("vx").alias("x"), F.col("vy").alias("y"), "p", "q", "prob", F.floor(F.col("p") / 200).alias("bucket"))
-    around = pts.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)))
-    pairs = J.range_join(pts, around, 1.125**0.5, keys=("frame", "bucket"), condition=(F.col("a.p") != F.col("b.p")) & (F.abs(F.col("a.p") - F.col("b.p")) < 200))
+    pts = c.select("frame", F.col("vx").alias("x"), F.col("vy").alias("y"), "p", "q", "prob")
+    pairs = J.range_join(pts, pts, 1.125**0.5, condition=F.col("a.p") != F.col("b.p"))
     rows = pairs.select(F.col("a.p").alias("p"), F.col("a.q").alias("q"), F.col("b.p").alias("p2"), F.col("b.q").alias("q2"), F.exp(-J.d2("a", "b") / 1.125).alias("dd"), F.col("b.prob").alias("prob"), F.lit(0.5).alias("link1"), F.lit(0.5).alias("link2"))
     return K.update_links(rows, 0.5).select("p", "q", "p2", "q2", fx("w", "w"))
 
