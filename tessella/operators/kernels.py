@@ -52,18 +52,68 @@ def drop_collinear(points, thres: float) -> list[tuple]:
 
 
 def convex_hull_3d(points) -> list[tuple[int, int, int]]:
-    """Faces (index triples, outward) of the hull of a few points in general position, by testing each triple's plane."""
+    """Faces (index triples, outward, least index first) of the hull, point by point: faces that see a point give way to a cone from their rim.
+
+    Each flat side of the hull is cut into triangles from the least index of its corners, so that the faces don't depend on the order
+    of the points. Points within a side or an edge are no corners. Points in one plane have no faces. Exact on whole numbers.
+    """
     p = np.asarray(points, float)
-    faces = []
-    for i, j, k in combinations(range(len(p)), 3):
-        normal = np.cross(p[j] - p[i], p[k] - p[i])
-        side = (p - p[i]) @ normal
-        side[[i, j, k]] = 0
-        if np.all(side <= 1e-9) and np.any(side < -1e-9):
-            faces.append((i, j, k))
-        elif np.all(side >= -1e-9) and np.any(side > 1e-9):
-            faces.append((i, k, j))
-    return faces
+    start = _tetrahedron(p)
+    if not start:
+        return []
+    inner = p[start].mean(axis=0)
+
+    def outward(tri):
+        tri = np.array(tri)
+        n = np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])
+        turned = np.einsum("ij,ij->i", n, inner - p[tri[:, 0]]) > 0
+        tri[turned] = tri[turned][:, [0, 2, 1]]
+        n[turned] *= -1
+        return tri, n
+
+    faces, normals = outward(list(combinations(start, 3)))
+    for i in range(len(p)):
+        seen = np.einsum("ij,ij->i", normals, p[i] - p[faces[:, 0]]) > 1e-9
+        if not seen.any():
+            continue
+        edges = {(a, b) for t in faces[seen].tolist() for a, b in zip(t, t[1:] + t[:1], strict=True)}
+        cone, n = outward([(a, b, i) for a, b in sorted(edges) if (b, a) not in edges])
+        faces, normals = np.concatenate([faces[~seen], cone]), np.concatenate([normals[~seen], n])
+    return sorted(f for side, n in _flat_sides(p, faces, normals) for f in _fan(p, side, n))
+
+
+def _tetrahedron(p: np.ndarray) -> list[int]:
+    """Four points that aren't in one plane, none if there are no such."""
+    if not len(p):
+        return []
+    b = int(np.argmax(np.sum((p - p[0]) ** 2, axis=1)))
+    off_line = np.cross(p - p[0], p[b] - p[0])
+    c = int(np.argmax(np.sum(off_line**2, axis=1)))
+    off_plane = np.abs((p - p[0]) @ np.cross(p[b] - p[0], p[c] - p[0]))
+    d = int(np.argmax(off_plane))
+    return [0, b, c, d] if off_plane[d] > 1e-9 else []
+
+
+def _flat_sides(p: np.ndarray, faces: np.ndarray, normals: np.ndarray) -> list[tuple[list[int], np.ndarray]]:
+    """(points, outward normal) of each flat side: the faces in one plane."""
+    out = []
+    left = np.ones(len(faces), bool)
+    while left.any():
+        f = int(np.argmax(left))
+        flat = left & np.all(np.abs((p[faces] - p[faces[f, 0]]) @ normals[f]) <= 1e-9, axis=1)
+        left &= ~flat
+        out.append((sorted(set(faces[flat].ravel().tolist())), normals[f]))
+    return out
+
+
+def _fan(p: np.ndarray, side: list[int], normal: np.ndarray) -> list[tuple[int, int, int]]:
+    axis = int(np.argmax(np.abs(normal)))
+    u, v = [((1, 2), (2, 0), (0, 1))[axis], ((2, 1), (0, 2), (1, 0))[axis]][int(normal[axis] < 0)]
+    index = {(p[i, u], p[i, v]): i for i in reversed(side)}
+    ring = [index[q] for q in convex_hull(index)]
+    k = ring.index(min(ring))
+    ring = ring[k:] + ring[:k]
+    return [(ring[0], a, b) for a, b in zip(ring[1:], ring[2:], strict=False)]
 
 
 def clip_convex(subject, clip) -> list[tuple]:

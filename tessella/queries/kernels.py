@@ -219,6 +219,6 @@ def polygon_overlaps(spark, sf):
 
 @query()
 def hull_3d(spark, sf):
-    """Hulls of the brightest cells per group of frames in x, y, v."""
-    p = pixels(spark, sf).withColumn("nth", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("v"), "y", "x"))).where("nth <= 24")
+    """Hulls of all cells of a frame in x, y, v."""
+    p = pixels(spark, sf)
     return U.hulls_3d(p.select(F.col("frame").cast("bigint").alias("g"), (F.col("y") * GRID + F.col("x")).alias("id"), F.col("x"), F.col("y"), F.col("v").alias("z")), "g")

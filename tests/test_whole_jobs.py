@@ -1,11 +1,16 @@
 """Places where a query once looked at a part of its rows only, on fixtures where the rest matters."""
 
 import datetime
+from collections import defaultdict
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import pandas as pd
 
+from tessella.operators import kernels
 from tessella.plans import catalog
+from tessella.sources.bindings import pixels
 
 
 def write_events(path, rows):
@@ -28,3 +33,44 @@ def test_link_weights_of_far_ids(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
     all_pairs = catalog.oracle_sql()["link_weights"].replace(" AND abs(a.p - b.p) < 200", "")
     assert sorted(map(tuple, got)) == sorted(con.execute(all_pairs).fetchall())
+
+
+def planes(p, triples):
+    """The points on the plane of each triple that has all points on one side, and some off it."""
+    out = set()
+    for i, j, k in triples:
+        side = (p - p[i]) @ np.cross(p[j] - p[i], p[k] - p[i])
+        if np.any(side) and (np.all(side <= 0) or np.all(side >= 0)):
+            out.add(frozenset(np.flatnonzero(side == 0).tolist()))
+    return out
+
+
+def check_hull(p, faces):
+    """A closed surface of outward faces that holds all points."""
+    for a, b, c in faces:
+        assert np.all((p - p[a]) @ np.cross(p[b] - p[a], p[c] - p[a]) <= 0)
+    edges = [e for a, b, c in faces for e in ((a, b), (b, c), (c, a))]
+    assert len(set(edges)) == len(edges) and {(b, a) for a, b in edges} == set(edges)
+
+
+def test_hull_3d_of_many_points_in_a_plane():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        p = np.unique(rng.integers(0, rng.integers(2, 6), (rng.integers(1, 15), 3)), axis=0)
+        faces = kernels.convex_hull_3d(p)
+        check_hull(p, faces)
+        assert planes(p, faces) == planes(p, combinations(range(len(p)), 3))
+    assert len(kernels.convex_hull_3d([(x, y, z) for x in range(4) for y in range(4) for z in range(4)])) == 12
+
+
+def test_hull_3d_holds_all_cells(spark, sf_dir):
+    faces, cells = defaultdict(list), defaultdict(dict)
+    for r in catalog.queries()["hull_3d"](spark, sf_dir).collect():
+        faces[r.g].append((r.a, r.b, r.c))
+    for r in pixels(spark, sf_dir).collect():
+        cells[r.frame][r.y * 32 + r.x] = (r.x, r.y, r.v)
+    assert set(faces) == set(cells)
+    for g, own in cells.items():
+        p = np.array([own[i] for i in range(32 * 32)])
+        check_hull(p, faces[g])
+        assert {0, 31, 32 * 31, 32 * 32 - 1} <= {i for f in faces[g] for i in f}
