@@ -194,9 +194,9 @@ def geometric_circles(spark, sf):
 
 @query()
 def offset_polygons(spark, sf):
-    rows = [(k, i, float(x + 7 * k), float(y)) for k in range(4) for i, (x, y) in enumerate(POLYGON)]
-    p = spark.createDataFrame(rows, "k bigint, seq int, x double, y double")
-    return U.offset_rings(p, "k", 6.0)
+    """Hulls of all clusters after their edges have moved inwards."""
+    h = U.hull_points(groups(spark, sf), "grp")
+    return U.offset_rings(h.withColumnRenamed("grp", "k"), "k", 6.0)
 
 
 @query(f"SELECT 0::BIGINT AS k, {len(POLYGON) - 2}::BIGINT AS triangles, {abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))) / 2}::DOUBLE AS area")

@@ -7,10 +7,11 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 from tessella.operators import kernels
 from tessella.plans import catalog
-from tessella.sources.bindings import pixels
+from tessella.sources.bindings import SQL, pixels
 
 
 def write_events(path, rows):
@@ -74,3 +75,34 @@ def test_hull_3d_holds_all_cells(spark, sf_dir):
         p = np.array([own[i] for i in range(32 * 32)])
         check_hull(p, faces[g])
         assert {0, 31, 32 * 31, 32 * 32 - 1} <= {i for f in faces[g] for i in f}
+
+
+def moved_in(ring, by):
+    """A convex polygon, against the clock, cut by the line of each edge moved inwards."""
+    out = ring
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        n = np.array([a[1] - b[1], b[0] - a[0]]) / np.hypot(b[0] - a[0], b[1] - a[1])
+        depth = lambda q: (np.array(q) - a) @ n - by  # noqa: B023, E731
+        given, out = out, []
+        for p, q in zip(given, given[1:] + given[:1], strict=True):
+            dp, dq = depth(p), depth(q)
+            if dp >= 0:
+                out.append(p)
+            if dp * dq < 0:
+                out.append(tuple(np.array(p) + dp / (dp - dq) * (np.array(q) - p)))
+    return out
+
+
+def test_offset_polygons_of_all_clusters(spark, sf_dir):
+    rings = defaultdict(list)
+    for r in catalog.queries()["offset_polygons"](spark, sf_dir).orderBy("k", "ring", "seq").collect():
+        rings[r.k, r.ring].append((r.x, r.y))
+    dots = defaultdict(set)
+    con = duckdb.connect()
+    for t, x, y in con.execute(f"WITH {SQL['dots'].replace('events', f'read_parquet({chr(39)}{sf_dir}/events.parquet{chr(39)})')} SELECT t, x, y FROM dots").fetchall():
+        dots[t * 100 + x // 50].add((x, y))
+    want = {k: kernels.polygon_area(moved_in(kernels.convex_hull(p), 6.0)) for k, p in dots.items() if len(p) >= 3}
+    want = {k: a for k, a in want.items() if a > 1e-6}
+    got = {k: kernels.polygon_area(ring) for (k, _), ring in rings.items()}
+    assert len(got) == len(rings) and len(want) > 10
+    assert got == pytest.approx(want, abs=1e-6)
