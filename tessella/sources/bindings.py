@@ -26,17 +26,17 @@ def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``frame, x, y, v``: a dense GRID x GRID image per day; v counts the events of a cell.
+    """``frame, x, y, v``: a dense GRID x GRID image per day from the table's first to its last; v counts the events of a cell.
 
-    Events are counted first, so that what is completed to the full grid has frames * GRID * GRID rows at most.
+    Events are counted first, so that what is completed to the full grid has frames * GRID * GRID rows at most. The SQL has
+    days 0 to FRAMES - 1.
     """
-    d = dots(spark, sf_dir)
+    d = dots(spark, sf_dir).where("t IS NOT NULL")
     x, y = F.least((F.col("x") / 16).cast("int"), F.lit(GRID - 1)), (F.col("y") % GRID)
-    counted = d.where(F.col("t").between(0, FRAMES - 1)).groupBy(F.col("t").alias("frame"), x.alias("x"), y.alias("y")).agg(F.count("*").cast("int").alias("v"))
-    empty = spark.range(FRAMES * GRID * GRID).select(
-        F.floor(F.col("id") / (GRID * GRID)).cast("int").alias("frame"), (F.col("id") % GRID).cast("int").alias("x"),
-        (F.floor(F.col("id") / GRID) % GRID).cast("int").alias("y"), F.lit(0).alias("v"),
-    )
+    counted = d.groupBy(F.col("t").alias("frame"), x.alias("x"), y.alias("y")).agg(F.count("*").cast("int").alias("v"))
+    days = d.agg(F.min("t").alias("first"), F.max("t").alias("last")).where("first IS NOT NULL")
+    cells = days.select(F.explode(F.sequence("first", "last")).alias("frame")).select("frame", F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1))).alias("cell"))
+    empty = cells.select("frame", (F.col("cell") % GRID).alias("x"), F.floor(F.col("cell") / GRID).cast("int").alias("y"), F.lit(0).alias("v"))
     return counted.unionByName(empty).groupBy("frame", "x", "y").agg(F.sum("v").cast("int").alias("v"))
 
 

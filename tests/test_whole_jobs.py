@@ -106,3 +106,10 @@ def test_offset_polygons_of_all_clusters(spark, sf_dir):
     got = {k: kernels.polygon_area(ring) for (k, _), ring in rings.items()}
     assert len(got) == len(rings) and len(want) > 10
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_pixels_of_all_days(spark, tmp_path):
+    sf = write_events(tmp_path, [(0, -2, 20, 3), (1, 0, 20, 3), (2, 40, 600, 33), (3, 40, 600, 33)])
+    got = {(r.frame, r.x, r.y): r.v for r in pixels(spark, sf).collect()}
+    assert set(got) == {(t, x, y) for t in range(-2, 41) for x in range(32) for y in range(32)}
+    assert {k: v for k, v in got.items() if v} == {(-2, 1, 3): 1, (0, 1, 3): 1, (40, 31, 1): 2}
