@@ -1,11 +1,15 @@
 """Best-fit packing of tokenised documents into sequences by hierarchical residual packing (operator 9).
 
 A document's ids and one closing id are one item; longer ones are cut into full pieces, the first takes the rest.
-Each task packs its own items best-fit decreasing. Nearly full bins are emitted; the others go up a tree as items of
-their fill: groups of ``FAN`` neighbours are merged and packed again until one group is left. A group hands up at
-most ``CARRY`` pieces (its emptiest bins); best fit leaves at most one bin that is half empty, so what stays behind
-could only be filled by much smaller items, of which every task has its share. No task holds more than
-``LOCAL`` pieces, or ``FAN * CARRY``.
+
+1. Each task packs its own items best-fit decreasing, ``LOCAL`` at a time, and emits the nearly full bins.
+2. Underfull bins go up a tree of fan ``FAN`` as the items they hold (a bin of two items fits fewer partners than its
+   items do). Only their number by length goes up, at most ``capacity`` numbers a node, however many items there are.
+   A node packs its children's items best-fit on these numbers, emits nearly full bins and hands up the rest; the
+   root emits all.
+3. A node's plan says which bin and offset the q-th of its items of a length gets. Every item knows its place among
+   the items of its length in its task; the plans of the levels above turn that into bin and offset by one join a
+   level on (group, length). Items themselves are never gathered or moved up the tree.
 
 Each level is written before the next reads it, so that sequence ids don't change if an executor is lost.
 """
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.simhash_kernel import sliced
@@ -29,8 +33,7 @@ CAPACITY = 2048
 NEARLY_FULL = 2000
 CLOSING_ID = 0
 LOCAL = 200_000
-FAN = 8
-CARRY = 50_000
+FAN = 16
 _COLUMNS = [("id", None), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 _loaded: dict = {}
 
@@ -151,76 +154,162 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets, made
 
 
-def _pack(rows: pa.Table, level: int, group: int, base: int, carry: int, capacity: int, nearly_full: int) -> pa.Table:
-    """Packs the bins of ``rows`` (column bin, sorted) as items; sets sequence_id, offset and done."""
-    old = rows["bin"].to_numpy()
-    length, offset = rows["length"].to_numpy(), rows["offset"].to_numpy()
-    heads = np.flatnonzero(np.r_[True, old[1:] != old[:-1]]) if len(old) else np.empty(0, np.int64)
-    item = np.cumsum(np.r_[True, old[1:] != old[:-1]]) - 1 if len(old) else old
-    sizes = np.add.reduceat(length, heads) if len(old) else length
-    bins, starts, made = best_fit(sizes, capacity)
-    new, place = bins[item], starts[item] + offset
-    fill = np.bincount(new, weights=length, minlength=made).astype(np.int64)
-    members = np.bincount(new, minlength=made)
-    emptiest = np.argsort(fill, kind="stable")
-    up = np.zeros(made, bool)
-    up[emptiest[np.cumsum(members[emptiest]) <= carry]] = True
-    up &= fill < nearly_full
-    names = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "grp", "done"]
-    cols = [rows[c] for c in names[:5]]
-    ident = (level << 56) + (group << 28) + base + new
-    return pa.table([*cols, pa.array(ident), pa.array(place), pa.array(np.full(len(old), group, np.int64)), pa.array(~up[new])], names)
-
-
-def _merger(level: int, carry: int, capacity: int, nearly_full: int):
-    def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("bin", "ascending"), ("offset", "ascending")])
-        return _pack(rows, level, key[0].as_py(), 0, carry, capacity, nearly_full)
-
-    return merge
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, local: int = LOCAL, fan: int = FAN, carry: int = CARRY) -> DataFrame:
-    """``pieces`` (id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``, one row per piece.
-
-    Equal and repeated pieces are packed one by one; an empty table gives an empty result. Lengths are 1 to ``capacity``.
-    """
-    kind = pieces.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, grp bigint, done boolean"
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """Best fit decreasing on numbers of items by size: (number of equal bins, their (size, items) in order, free space)."""
+    made: list[list] = []  # [bins, contents, free]
+    at: list[list[int]] = [[] for _ in range(capacity + 1)]  # places in ``made`` by free space
+    free = 0
+
+    def put(group: list) -> None:
+        nonlocal free
+        made.append(group)
+        if group[2]:
+            at[group[2]].append(len(made) - 1)
+            free |= 1 << group[2]
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            fits = free >> size
+            if not fits:
+                per = capacity // size
+                for bins, each in ((left // per, per), (1, left % per)):
+                    if bins and each:
+                        put([bins, [(size, each)], capacity - size * each])
+                break
+            space = size + (fits & -fits).bit_length() - 1
+            held = at[space]
+            place = held.pop()
+            group = made[place]
+            if not held:
+                free &= ~(1 << space)
+            each = min(space // size, -(-left // group[0]))
+            bins = min(group[0], left // each)
+            left -= bins * each
+            if bins < group[0]:
+                put([group[0] - bins, list(group[1]), space])
+            group[0], group[2] = bins, space - size * each
+            group[1].append((size, each))
+            if group[2]:
+                at[group[2]].append(place)
+                free |= 1 << group[2]
+    return [tuple(g) for g in made]
+
+
+#: Sequence ids: leaves count from 0 (partition, chunk, bin), nodes of the tree from 2^62 (level, node, bin).
+_CHUNK_BITS, _BIN_BITS, _NODE_BITS, _NODE_BIN_BITS = 20, 18, 20, 36
+_PLAN = "node bigint, length bigint, first bigint, bin bigint, offset bigint, each bigint"
+
+
+def node_plan(level: int, node: int, counts: dict[int, int], capacity: int, least_fill: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(node, length, first, bin, offset, each): from the ``first``-th item of a length on, ``each`` items go to each bin from
+    ``bin`` on, at ``offset`` and behind. Bins filled to less than ``least_fill`` are left out: their items go up."""
+    taken: dict[int, int] = dict.fromkeys(counts, 0)
+    out, bin_ = [], 0
+    for bins, contents, free in best_fit_counts(counts, capacity):
+        if capacity - free < least_fill:
+            continue
+        place = 0
+        for size, each in contents:
+            out.append((node, size, taken[size], (1 << 62) + (level << 56) + (node << _NODE_BIN_BITS) + bin_, place, each))
+            taken[size] += bins * each
+            place += size * each
+        bin_ += bins
+    if node >> _NODE_BITS or bin_ >> _NODE_BIN_BITS:
+        raise ValueError("more bins or groups than sequence ids are made for")
+    # a last entry a length: from here on items go up
+    return out + [(node, size, n, -1, 0, 1) for size, n in taken.items()]
+
+
+def _planner(level: int, capacity: int, least_fill: int):
+    names = [x.split()[0] for x in _PLAN.split(", ")]
+
+    def plan(key: tuple, rows: pa.Table) -> pa.Table:
+        counts = dict(zip(rows["length"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        cols = zip(*node_plan(level, key[0].as_py(), counts, capacity, least_fill), strict=True)
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names)
+
+    return plan
+
+
+def _leaf(capacity: int, nearly_full: int, local: int):
+    names = [*(n for n, _ in _COLUMNS), "bin", "offset", "grp", "idx"]
+
+    def packed(held: list[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        length = rows["length"].to_numpy()
+        bins, starts, made = best_fit(length, capacity)
+        full = np.bincount(bins, weights=length, minlength=made)[bins] >= nearly_full
+        left = np.flatnonzero(~full)
+        left = left[np.argsort(length[left], kind="stable")]
+        sizes = length[left]
+        idx = np.full(len(length), -1, np.int64)  # of an item of an underfull bin: its place among those of its length
+        idx[left] = np.arange(len(left)) - np.searchsorted(sizes, sizes)
+        cols = [*(rows[n] for n, _ in _COLUMNS), pa.array((group << _BIN_BITS) + bins), pa.array(starts), pa.array(np.full(len(length), group, np.int64)), pa.array(idx)]
+        yield from pa.table(cols, names).to_batches(20_000)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, base, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            rows = rows.append_column("bin", pa.array(np.arange(len(rows)))).append_column("offset", pa.array(np.zeros(len(rows), np.int64)))
-            yield from _pack(rows, 0, group, base, carry, capacity, nearly_full).to_batches(20_000)
-
+        chunk, held, n = 0, [], 0
         for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= local:
-                yield from packed()
-                base, held, n = base + n, [], 0
+            for at in range(0, len(batch), local):
+                part = batch.slice(at, local)
+                if n + len(part) > local:
+                    yield from packed(held, (TaskContext.get().partitionId() << _CHUNK_BITS) + chunk)
+                    chunk, held, n = chunk + 1, [], 0
+                held.append(part)
+                n += len(part)
         if n:
-            yield from packed()
-
-    done = []
-    now = stage(pieces.mapInArrow(leaf, schema), "packed")
-    for level in range(1, 100):
-        done.append(now.where("done"))
-        under = now.where("NOT done")
-        groups = under.agg(F.countDistinct("grp"), F.max("grp")).first()
-        if not groups[0]:
-            break
-        last = groups[1] < fan
-
-        merge = _merger(level, 0 if last else carry, capacity, nearly_full)
-        now = stage(under.withColumn("grp", F.floor(F.col("grp") / fan).cast("bigint")).groupBy("grp").applyInArrow(merge, schema), "packed")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.select("id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+            yield from packed(held, (TaskContext.get().partitionId() << _CHUNK_BITS) + chunk)
+
+    return leaf
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, local: int = LOCAL, fan: int = FAN) -> DataFrame:
+    """``pieces`` (id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``, one row per piece.
+
+    Lengths are 1 to ``capacity``. Equal and repeated pieces and null ids are packed one by one; an empty table gives an
+    empty result; other columns of ``pieces`` are ignored. A task holds at most ``local`` pieces, a node of the tree
+    ``fan * capacity`` numbers.
+    """
+    if local > 1 << _BIN_BITS:
+        raise ValueError(f"local is {1 << _BIN_BITS} at most")
+    kind = pieces.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, grp bigint, idx bigint"
+    leaves = stage(pieces.select(*(n for n, _ in _COLUMNS)).mapInArrow(_leaf(capacity, nearly_full, local), schema), "packed")
+    own = ["id", "piece", "start", "length", "ids_crc32"]
+    out = leaves.where("idx < 0").select(*own, F.col("bin").alias("sequence_id"), "offset")
+    under = leaves.where("idx >= 0").select(*own, "grp", F.col("idx").alias("q"))
+    counts = stage(under.groupBy("grp", "length").agg(F.count("*").alias("n")), "left-by-length")
+    # groups with items left, numbered from 0: a row a group, far fewer than items
+    numbered = counts.select("grp").distinct().withColumn("child", F.row_number().over(Window.orderBy("grp")).cast("bigint") - 1)
+    counts = stage(counts.join(numbered, "grp"), "left-by-length")
+    groups = counts.agg(F.max("child")).first()[0]
+    if groups is None:
+        return out
+    under = under.join(counts.select("grp", "length", "child"), ["grp", "length"]).drop("grp")
+    counts, level = counts.drop("grp"), 0
+    while True:
+        level, root = level + 1, groups < fan
+        parted = counts.withColumn("node", F.floor(F.col("child") / fan).cast("bigint"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("node", "length").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parted = stage(parted.withColumn("ahead", ahead).select("child", "length", "node", "ahead", "n"), "children")
+        totals = parted.groupBy("node", "length").agg(F.sum("n").alias("n"))
+        plan = stage(totals.groupBy("node").applyInArrow(_planner(level, capacity, 0 if root else nearly_full), _PLAN), "node-plans")
+        ranges = plan.groupBy("node", "length").agg(F.array_sort(F.collect_list(F.struct("first", "bin", "offset", "each"))).alias("ranges"))
+        here = parted.join(ranges, ["node", "length"]).select("child", "length", "node", "ahead", "ranges")
+        q = F.col("q") + F.col("ahead")
+        found = under.join(stage(here, "places"), ["child", "length"]).withColumn("q", q)
+        found = found.withColumn("at", F.element_at(F.filter("ranges", lambda r: r["first"] <= F.col("q")), -1)).drop("ranges", "ahead", "child")
+        found = found.withColumn("q", F.col("q") - F.col("at.first"))
+        found = stage(found, "placed")
+        places = found.where("at.bin >= 0")
+        step = F.col("q") % F.col("at.each")
+        out = out.unionByName(places.select(*own, (F.col("at.bin") + F.expr("q div at.each")).alias("sequence_id"), (F.col("at.offset") + step * F.col("length")).alias("offset")))
+        if root:
+            return out
+        under = found.where("at.bin < 0").select(*own, "q", F.col("node").alias("child"))
+        counts = stage(totals.join(plan.where("bin < 0"), ["node", "length"]).select(F.col("node").alias("child"), "length", (F.col("n") - F.col("first")).alias("n")).where("n > 0"), "left-by-length")
+        groups = groups // fan
 
 
 def default_tokenizer() -> dict[str, str]:
@@ -230,9 +319,15 @@ def default_tokenizer() -> dict[str, str]:
 
 
 def pack_documents(df: DataFrame) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every row of ``df`` (doc_id, text).
+
+    A null or empty text is one piece, the closing id; very long texts are cut into full pieces; repeated rows and null
+    ids are packed one by one; an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
     pieces = stage(token_pieces(df, **default_tokenizer()), "pieces")
     return pack(pieces).withColumnRenamed("id", "doc_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences of at most 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))

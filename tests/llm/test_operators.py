@@ -313,16 +313,54 @@ def test_packing_of_texts(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("carry", [50_000, 40])
-def test_packing_levels(spark, carry):
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 500), max_size=30))
+def test_best_fit_on_counts(counts):
+    made = packing.best_fit_counts(counts, 60)
+    assert all(sum(n * k for n, k in items) + free == 60 for _, items, free in made)
+    assert {s: sum(bins * k for bins, items, _ in made for n, k in items if n == s) for s in counts} == counts
+    whole = packing.best_fit(np.repeat([*counts], [*counts.values()]).astype(np.int64), 60)[2] if counts else 0
+    assert sum(bins for bins, *_ in made) <= 1.05 * whole + 1
+
+
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 500), max_size=30), st.sampled_from([0, 55]))
+def test_node_plan_places_each_item_once(counts, least):
+    plan = packing.node_plan(1, 0, counts, 60, least)
+    fill = Counter()
+    for length, n in counts.items():
+        own = sorted(r for r in plan if r[1] == length)
+        for (_, _, first, bin_, offset, each), (_, _, stop, *_) in zip(own, own[1:], strict=False):
+            for q in range(stop - first):
+                fill[bin_ + q // each, offset + q % each * length] += length
+        assert own[-1][3] == -1 and own[-1][2] <= n and (least or own[-1][2] == n)
+    by_bin = defaultdict(list)
+    for (bin_, offset), length in fill.items():
+        by_bin[bin_].append((offset, length))
+    for members in by_bin.values():
+        ends = [o + n for o, n in sorted(members)]
+        assert [0, *ends[:-1]] == [o for o, _ in sorted(members)] and least <= ends[-1] <= 60
+
+
+PIECES_TYPE = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+
+
+@pytest.mark.parametrize("nearly_full", [2000, 2048])
+def test_packing_levels(spark, nearly_full):
     rng = np.random.default_rng(3)
     sizes = np.where(rng.random(3000) < 0.1, 2048, rng.integers(1, 2048, 3000))
-    rows = [(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)]
-    df = spark.createDataFrame(rows, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(20, "id")
-    got = packing.pack(df, local=100, fan=3, carry=carry).collect()
-    assert sorted(r.id for r in got) == list(range(3000))
+    rows = [(i if i % 50 else None, 0, 0, int(s), 0) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, PIECES_TYPE).repartition(20).withColumns({"grp": F.lit(1), "q": F.lit("x"), "idx": F.lit(2), "bin": F.lit(0)})
+    got = packing.pack(df, local=100, fan=3, nearly_full=nearly_full).collect()
+    assert sorted(r.length for r in got) == sorted(sizes.tolist()) and sorted(r.id for r in got if r.id) == [i for i in range(3000) if i % 50]
     whole = packing.best_fit(sizes)[2]  # with all pieces in one task
-    assert check_packed(got) <= (1.03 if carry > 1000 else 1.05) * whole
+    assert check_packed(got) <= 1.02 * whole
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_packing_pairs_large_with_small_of_other_tasks(spark):
+    large = spark.range(0, 3000, 1, 2).select("id", (1025 + F.col("id") % 75).alias("length"))
+    small = spark.range(3000, 6000, 1, 2).select("id", (900 + F.col("id") % 40).alias("length"))
+    df = large.union(small).selectExpr("id", "0 piece", "0L start", "length", "0L ids_crc32")
+    assert check_packed(packing.pack(df, local=700, fan=2).collect()) == 3000
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------------------
