@@ -146,6 +146,60 @@ def plain_targets(sizes, weights, epochs=3):
         capped |= over
 
 
+def plain_mix(rows):
+    """How often each (id, text, source) row is taken: each source's tickets one after the other."""
+    size = [len(brute.words(t)) for _, t, _ in rows]
+    ticket = [hashlib.md5(f"{'' if i is None else i}:20240".encode()).hexdigest() for i, _, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    targets = dict(zip(names, plain_targets([total[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    times = [0] * len(rows)
+    for s in names:
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        items, long = Counter(), set()
+        for i in own:
+            items[ticket[i]] += size[i]
+            if size[i] * 256 > total[s]:
+                long.add(ticket[i])
+        whole = int(targets[s] // total[s]) if total[s] else 0
+        extra = targets[s] - whole * total[s]
+        mass = sum(items[t] for t in long)
+        need, taken, took = max(extra * mass / total[s], extra - (total[s] - mass)) if total[s] else 0, 0, set()
+        for t in sorted(long):
+            if items[t] <= 2 * (need - taken) and taken + items[t] <= extra:
+                taken += items[t]
+                took.add(t)
+        left = extra - taken
+        for t in sorted(set(items) - long):
+            if items[t] > left:
+                break
+            left -= items[t]
+            took.add(t)
+        over = [(abs(size[i] - left), ticket[i]) for i in own if ticket[i] not in took]
+        if left > 0 and over and abs(items[min(over)[1]] - left) < left:
+            took.add(min(over)[1])
+        for i in own:
+            times[i] = whole + (ticket[i] in took)
+    return times
+
+
+@pytest.mark.parametrize("planted", [0, 5_000])
+def test_mixing_equals_the_plain_version(spark, planted):
+    rows = [(i, "w " * (1 + i * 31 % 40), f"s{i % 2}") for i in range(5000)] + [(10_000 + s, "w " * planted * (s + 5), f"s{s % 3}") for s in range(9)]
+    rows += [(i, "again " * 3, "s0") for i in range(0, 200, 3)]
+    df = docs(spark, [(i, t, None, s) for i, t, s in rows])
+    got = Counter(tuple(r) for r in mixing.mix(df).select("doc_id", "text", "source").collect())
+    want = Counter()
+    for r, n in zip(rows, plain_mix(rows), strict=True):
+        want[r] += n
+    assert got == +want
+    taken = Counter()
+    for r, n in got.items():
+        taken[r[2]] += n * len(r[1].split())
+    for r in mixing.plan_mix(df)[1].where("source < 's2'").collect():
+        assert abs(taken[r.source] - r.target) < 0.001 * r.target
+
+
 def test_mixing(spark):
     rows = [(i, "word " * (1 + i * 7 % 50), None, f"s{i % 5}" if i % 9 else None) for i in range(400)] + [(None, None), (1, "twice"), (1, "twice"), (900, "w " * 40_000, None, "big")]
     df = docs(spark, rows).transform(clash)

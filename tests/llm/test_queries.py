@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from tests.llm import brute
-from tests.llm.test_operators import check_packed, plain_targets
+from tests.llm.test_operators import check_packed, plain_mix
 
 import corpus_pipeline
 from tessella.llm import language_id, packing, queries, tiff
@@ -95,31 +95,6 @@ def test_op10(spark, sf_dir, docs):
     assert sorted(got) == sorted(brute.near_components(list(zip(docs.doc_id.tolist(), docs.text, strict=True))))
 
 
-def plain_mix(rows):
-    """How often each (id, text, source) row is taken, by going through each source's documents in the order of their tickets."""
-    size = [len(brute.words(t)) for _, t, _ in rows]
-    ticket = [hashlib.md5(f"{i}:20240".encode()).hexdigest() for i, _, _ in rows]
-    names = sorted({s for *_, s in rows})
-    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
-    targets = dict(zip(names, plain_targets([total[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
-    times = [0] * len(rows)
-    for s in names:
-        own = sorted((ticket[i], i) for i in range(len(rows)) if rows[i][2] == s)
-        whole = int(targets[s] // total[s]) if total[s] else 0
-        left, stop = targets[s] - whole * total[s], None
-        for k, (_, i) in enumerate(own):
-            if size[i] > left and stop is None:
-                stop = k
-            if stop is None:
-                left -= size[i]
-            times[i] = whole + (stop is None)
-        if stop is not None and len(own) < 1000:
-            gap, _, i = min((abs(size[i] - left), t, i) for t, i in own[stop:])
-            if gap < left:
-                times[i] += 1
-    return times
-
-
 def test_pipeline(spark, sf_dir, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
