@@ -1,30 +1,35 @@
 """SimHash near-duplicates by pivot distance tables (operator 10).
 
-Distances to *random* pivots can't prune 64-bit fingerprints alone: they gather around 32 (sigma 4), so one
-pivot's test ``|d(x,p) - d(y,p)| <= 4`` still passes over half of all pairs. The references are therefore of two sorts:
-
-* block references - the unit fingerprints of each of ``blocks`` bit blocks. A block's distances to its units
-  say its bits, so "all coordinates of the block agree" is equality of the block. With ``blocks`` = radius + 2
-  or more, two fingerprints in the radius agree on all coordinates of at least ``blocks - radius`` blocks;
-  every choice of so many blocks gives a join key.
-* ``PIVOTS`` scattered references. Their distances are computed once per distinct fingerprint and packed into
-  one long; a candidate pair whose largest coordinate difference is over the radius is discarded.
-
-Survivors are verified by the exact Hamming distance. Blocks are chosen so that a key has at least
-log2(distinct fingerprints) bits; more fingerprints take more, finer keys. A bucket with over ``DENSE`` distinct
-fingerprints isn't paired up: its members go through ``ball_links``, linear in their number and exact.
+``similar_groups`` links texts whose 5-word shingles have a similarity of 0.8 or more (the pipeline's stage):
+
+1. A text's distances to ``M`` scattered reference fingerprints make a row of a distance table; there are ``TABLES`` of
+   them. Distances weigh each bit by how clear its majority is (see ``nearest_references``). The ``NEAREST`` references
+   of each table are kept, and every two of them are a join key: similar texts have nearly the same distances, so that
+   they share two of their nearest references in some table.
+2. Pairs of a key are discarded if their fingerprints differ in over ``NEAR_BITS`` bits; the survivors are verified by
+   the exact similarity of their shingles.
+
+``near_groups`` links fingerprints within ``radius`` bits, all of them. Plain distances to scattered references gather
+around 32 (sigma 4), so one reference's test ``|d(x,p) - d(y,p)| <= 4`` passes over half of all pairs: a complete join
+can't use them as keys. Its candidates therefore agree in enough bit blocks (pigeonhole: of ``blocks`` blocks,
+``blocks - radius`` agree; every choice of so many blocks is a key). Candidates whose table of ``PIVOTS`` distances shows a
+coordinate difference over the radius are discarded, survivors are verified by the exact Hamming distance. Blocks are
+chosen so that a key has at least log2(distinct fingerprints) bits; more fingerprints take more, finer keys. A bucket with
+over ``DENSE`` distinct fingerprints isn't paired up: its members go through ``ball_links``, linear in their number and exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.simhash_kernel import fingerprints, sliced
+from tessella.llm.simhash_kernel import bit_counts, fingerprints, majority, nearest_references, reference_fingerprints, shingle_sets, sliced
 from tessella.llm.tables import fresh, table
 from tessella.operators.components import connected_components
 from tessella.plans.storage import anchored, row_id, stage
@@ -32,8 +37,15 @@ from tessella.plans.storage import anchored, row_id, stage
 RADIUS = 4
 WIDTH = 4
 DENSE = 1024
-#: Eight scattered reference fingerprints: the first 64 bits of the fractional parts of the square roots of 2, 3, 5, ... 19.
-PIVOTS = [int((p**0.5 % 1) * 2**52) * 0x9E3779B97F4A7C15 % 2**64 for p in (2, 3, 5, 7, 11, 13, 17, 19)]
+#: Reference fingerprints of the distance tables, scattered by an odd multiplier; seven distances fill one long.
+PIVOTS = [(k * 0x9E3779B97F4A7C15 ^ k * k * 0xC2B2AE3D27D4EB4F) % 2**64 for k in range(1, 71)]
+SIMILARITY = 0.8
+SIMILAR_WIDTH = 5
+TABLES = 6
+NEAREST = 4
+NEAR_BITS = 20
+CROWDED = 64
+HUBS = 8
 
 
 def _signed(x: int) -> int:
@@ -63,17 +75,23 @@ def block_masks(blocks: int) -> list[int]:
 
 
 def pivot_table(fp: Column) -> Column:
-    """Distances to the eight scattered references, a byte each, in one long."""
-    packed = F.lit(0).cast("bigint")
-    for i, p in enumerate(PIVOTS):
-        packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("bigint"), 8 * i))
-    return packed
+    """Distances to the references, a byte each, in an array of longs."""
 
+    def packed(seven: list[int]) -> Column:
+        parts = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("bigint"), 8 * i) for i, p in enumerate(seven)]
+        return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
-def pivot_gap(a: Column, b: Column) -> Column:
-    """Largest coordinate difference of two packed distance tables: a lower bound of the Hamming distance."""
-    byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
-    return F.greatest(*[F.abs(byte(a, i) - byte(b, i)) for i in range(len(PIVOTS))])
+    return F.array(*[packed(PIVOTS[i : i + 7]) for i in range(0, len(PIVOTS), 7)])
+
+
+def within(a: Column, b: Column, radius: int) -> Column:
+    """Whether no coordinate of two distance tables differs by more than ``radius``: true for all pairs within it.
+
+    Seven bytes at a time: with the high bit set, a byte of a - b + radius keeps it if the difference is -radius or more.
+    """
+    high, add = sum(0x80 << 8 * i for i in range(7)), sum(radius << 8 * i for i in range(7))
+    both = [((a[i] + high - b[i] + add).bitwiseAND(b[i] + high - a[i] + add).bitwiseAND(F.lit(high))) == high for i in range(-(-len(PIVOTS) // 7))]
+    return reduce(lambda x, y: x & y, both)
 
 
 def links(distinct: DataFrame, count: int, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
@@ -83,15 +101,15 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, dense: int = DE
     keys = list(combinations(range(blocks), blocks - radius))
     assert len(keys) == comb(blocks, radius)
     mask_of = [_signed(sum(masks[b] for b in key)) for key in keys]
-    keyed = distinct.select("fp", pivot_table(F.col("fp")).alias("far"), F.posexplode(F.array(*[F.lit(m) for m in mask_of])).alias("k", "mask"))
-    keyed = keyed.select("fp", "far", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in mask_of])).alias("k", "mask"))
+    keyed = keyed.select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     crowded = keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
     crowded = stage(crowded.select("k", "key", "n"), "buckets")
     keyed = stage(keyed.join(crowded, ["k", "key"]), "keyed")
-    sparse = keyed.where(F.col("n") <= dense).drop("n")
+    sparse = keyed.where(F.col("n") <= dense).drop("n").withColumn("far", pivot_table(F.col("fp")))
     a, b = sparse.alias("a"), sparse.alias("b")
     near = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    near &= pivot_gap(F.col("a.far"), F.col("b.far")) <= radius
+    near &= within(F.col("a.far"), F.col("b.far"), radius)
     near &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     pairs = a.join(b, near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct()
     heavy = keyed.where(F.col("n") > dense).select("fp").distinct()
@@ -99,15 +117,20 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, dense: int = DE
 
 
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links for crowded buckets. Two fingerprints within 2r have a common neighbour within r of both: all members of a
-    neighbour's group are within 2r of each other, so that each links to the group's least. Rows: C(64, <= r) per fingerprint.
+    """Links for crowded buckets, complete for connectivity and only between fingerprints within the radius.
+
+    Two fingerprints within r bits have a common neighbour within r // 2 bits of one and r - r // 2 of the other. Of all
+    fingerprints around a neighbour, those within r // 2 are its inner ones; any other is within r of an inner one, so that
+    all link to the least inner one. Rows: C(64, <= r - r // 2) per fingerprint.
     """
-    if radius != 4:
-        raise ValueError("the crowded path is written for a radius of 4")
-    flips = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
-    around = fps.select("fp", F.explode(F.array(*[F.lit(_signed(x)) for x in flips])).alias("flip"))
-    around = around.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    least = around.groupBy("mid").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    inner, outer = radius // 2, radius - radius // 2
+    around = fps.select("fp", F.col("fp").alias("mid"), F.lit(64).alias("last"), F.lit(0).alias("n"))
+    for _ in range(outer):  # one more bit below the last one, or none (-1) from here on
+        around = around.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.col("last") - 1)))
+        turned = F.expr("CASE WHEN bit < 0 THEN mid ELSE mid ^ shiftleft(1L, bit) END")
+        around = around.select("fp", turned.alias("mid"), F.greatest("bit", F.lit(0)).alias("last"), (F.col("n") + F.when(F.col("bit") < 0, 0).otherwise(1)).alias("n"))
+    around = around.select("fp", "mid", (F.col("n") <= inner).alias("inner"))
+    least = around.groupBy("mid").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("low"), F.count("*").alias("n")).where("n > 1 AND low IS NOT NULL")
     return around.join(least, "mid").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
 
 
@@ -129,19 +152,127 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return rows.join(of_fp, "fp").select("rid", "id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays: that with the smallest id (of repeated ids, one). Rows without words are kept:
-    they say nothing about being copies of each other. All columns; only ids of dropped rows are joined.
+def signature_udf(width: int, references: int, tables: int, nearest: int):
+    """text -> struct(fp, keys): two of the nearest references of a table are a key; a text without words has none."""
+
+    @F.arrow_udf("fp bigint, keys array<bigint>")
+    def signature(texts: pa.Array) -> pa.Array:
+        fps, keys, sizes = [], [], []
+        for part in sliced(texts):
+            ones, shingles = bit_counts(part, width)
+            fps.append(majority(ones, shingles).view("int64"))
+            own = []
+            for t in range(tables):
+                near = nearest_references(ones, shingles, reference_fingerprints(references, t), nearest).astype(np.int64)
+                own += [(t * references + near[:, i]) * references + near[:, j] for i, j in combinations(range(nearest), 2)]
+            keys.append(np.stack(own, axis=1)[shingles > 0].ravel())
+            sizes.append((shingles > 0) * len(own))
+        ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64)), lists], ["fp", "keys"])
+
+    return signature
+
+
+def shingles_udf(width: int):
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        sets = [x.view("int64") for part in sliced(texts) for x in shingle_sets(part, width)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+
+    return shingles
+
+
+def references_for(rows: int) -> int:
+    """A power of two, so that a key has about four texts by chance at most: references ^ 2 >= 8 * rows."""
+    return 1 << max(6, ceil(log2(8 * max(rows, 1)) / 2))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``src, dst`` of the pairs whose exact shingle similarity is ``similarity`` at least; ``docs``: doc, rid; ``texts``: rid, text."""
+    pairs = stage(pairs.distinct(), "candidates")
+    needed = docs.join(pairs.select(F.col("src").alias("doc")).union(pairs.select("dst")).distinct(), "doc").select("doc", "rid")
+    sets = stage(texts.join(stage(needed, "needed"), "rid").select("doc", shingles_udf(width)("text").alias("own")), "shingles")
+    joined = pairs.join(sets.select(F.col("doc").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("doc").alias("dst"), F.col("own").alias("b")), "dst")
+    joined = joined.select("src", "dst", (F.size("a") + F.size("b")).alias("all"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return stage(joined.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("src", "dst"), "links")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, tables: int = TABLES,
+                   nearest: int = NEAREST, near_bits: int = NEAR_BITS, crowded: int = CROWDED) -> DataFrame:
+    """One row per row of an ``anchored`` table: ``rid, id, doc, component``; doc is one per distinct text, component the
+    least doc reachable over links, null for texts without links.
+
+    Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Keys with over
+    ``crowded`` texts compare all with ``HUBS`` of them first, and then texts of different components only. Null and
+    wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
+    other; an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sign = signature_udf(width, references_for(df.count()), tables, nearest)
+    rows = df.select(row_id(df).alias("rid"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), sign(text).alias("s"))
+    rows = stage(rows.select("rid", "id", "digest", "s.fp", "s.keys"), "signatures")
+    # one text of each sort of equal ones; its number is fixed by being written
+    firsts = rows.groupBy("digest").agg(F.min("rid").alias("rid"))
+    docs = stage(firsts.select("digest", "rid", F.monotonically_increasing_id().alias("doc")), "distinct-texts")
+    keyed = rows.select("rid", "fp", "keys").join(docs.select("rid", "doc"), "rid").select("doc", "fp", F.explode("keys").alias("key"))
+    keyed = stage(keyed, "keyed")
+    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    keyed = stage(keyed.join(sizes, "key"), "keyed")
+    texts = df.select(row_id(df).alias("rid"), text.alias("text"))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= near_bits
+
+    def pairs(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+        """Pairs of rows (key, doc, fp) of ``a`` and ``b`` within ``near_bits``, the smaller doc first."""
+        b = b.select(*[F.col(c).alias(f"{c}_") for c in b.columns])
+        found = a.join(b, F.expr(on) & near("fp", "fp_"))
+        return found.select(F.least("doc", "doc_").alias("src"), F.greatest("doc", "doc_").alias("dst"))
+
+    few, many = keyed.where(F.col("n") <= crowded), keyed.where(F.col("n") > crowded).drop("n")
+    hubs = many.groupBy("key").agg(F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(0))).alias("h0"), *[
+        F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS)
+    ])
+    hubs = stage(hubs.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select("key", "h.doc", "h.fp"), "hubs")
+    first = pairs(few, few, "key = key_ AND doc < doc_").union(pairs(many, hubs, "key = key_ AND doc <> doc_"))
+    links = _verified(first, docs, texts, width, similarity)
+    found = connected_components(links)
+    # crowded keys: what the hubs haven't joined is compared across components
+    grouped = many.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("component"))
+    grouped = stage(grouped, "crowded")
+    parts = grouped.select("key", "component").distinct()
+    apart = stage(pairs_of_parts(parts), "apart")
+    left = grouped.join(apart, ["key", "component"])
+    second = pairs(left, grouped, "key = key_ AND other = component_")
+    more = _verified(second, docs, texts, width, similarity)
+    found = connected_components(links.union(more)) if not more.isEmpty() else found
+    of_text = docs.join(found, F.col("doc") == F.col("node"), "left").select("digest", "doc", "component")
+    return rows.select("rid", "id", "digest").join(of_text, "digest").select("rid", "id", "doc", "component")
+
+
+def pairs_of_parts(parts: DataFrame) -> DataFrame:
+    """``key, component, other``: every two components of a key, the smaller one first."""
+    other = parts.select(F.col("key").alias("k"), F.col("component").alias("other"))
+    return parts.join(other, (F.col("key") == F.col("k")) & (F.col("component") < F.col("other"))).drop("k")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts stays: that with the smallest id (null ids last; of repeated ids, one).
+
+    Rows without words are kept: they say nothing about being copies of each other. All columns; an empty table gives an
+    empty result; very long texts are compared whole; names of other columns don't matter. Only ids of dropped rows are joined.
     """
     df, rid = anchored(df), fresh(df, "_rid")
-    found = stage(near_groups(df, id_col, text_col), "groups")
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = similar_groups(df.where(has_words), id_col, text_col, width, similarity).withColumn("own", F.coalesce("component", "doc"))
+    found = stage(found.select("rid", "id", "own"), "groups")
     first = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(first).alias("best"))
-    kept = best.select(F.col("best.rid").alias("rid"))
-    dropped = stage(found.where("fp <> 0").join(kept, "rid", "left_anti").select(F.col("rid").alias(rid)), "dropped")
+    kept = found.groupBy("own").agg(F.min(first).alias("best")).select(F.col("best.rid").alias("rid"))
+    dropped = stage(found.join(kept, "rid", "left_anti").select(F.col("rid").alias(rid)), "dropped")
     return df.withColumn(rid, row_id(df)).join(dropped, rid, "left_anti").select(*df.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint and the smallest id among those that links within 4 bits reach."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

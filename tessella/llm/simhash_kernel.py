@@ -52,22 +52,31 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[keep], place[begins], place[~space & after] + 1, upto[offsets[1:]] - upto[offsets[:-1]]
 
 
-def fingerprints(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
-    """One unsigned 64-bit SimHash per text: a bit is 1 if over half the shingles' hashes have it; no words: 0."""
+def _shingle_hashes(texts: pa.Array, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles, text after text; shingles per text)."""
     norm, starts, ends, counts = words_of(*string_buffers(texts))
     shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
-    out = np.zeros(len(counts), dtype=np.uint64)
     total = int(shingles.sum())
-    if not total:
-        return out
     first_word = np.cumsum(counts) - counts
     first_shingle = np.cumsum(shingles) - shingles
     at = np.arange(total) - np.repeat(first_shingle - first_word, shingles)
     last = at + np.repeat(np.minimum(width, np.maximum(counts, 1)) - 1, shingles)
     data, digest = norm.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(data[a:b], seed) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, total
-    )
+    step = 1 << 18  # spans at a time: lists of numbers of a very long text stay small
+    hashes = np.empty(total, np.uint64)
+    for lo in range(0, total, step):
+        spans = zip(starts[at[lo : lo + step]].tolist(), ends[last[lo : lo + step]].tolist(), strict=True)
+        hashes[lo : lo + step] = np.fromiter((digest(data[a:b], seed) for a, b in spans), np.uint64, min(step, total - lo))
+    return hashes, shingles
+
+
+def bit_counts(texts: pa.Array, width: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x 64: how many shingle hashes have each bit; shingles per text)."""
+    hashes, shingles = _shingle_hashes(texts, width, seed)
+    out = np.zeros((len(shingles), 64), np.int64)
+    if not len(hashes):
+        return out, shingles
+    first_shingle = np.cumsum(shingles) - shingles
     # bytes of 0/1 are summed eight at a time, over runs of 255 shingles at most
     full = np.flatnonzero(shingles)
     runs = -(-shingles[full] // 255)
@@ -76,13 +85,43 @@ def fingerprints(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
     step = 1024  # runs at a time: 16 MB of bits at most
     for lo in range(0, len(run_first), step):
         part = run_first[lo : lo + step]
-        stop = run_first[lo + step] if lo + step < len(run_first) else total
+        stop = run_first[lo + step] if lo + step < len(run_first) else len(hashes)
         bits = np.unpackbits(hashes[part[0] : stop].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         sums.append(np.add.reduceat(bits.view(np.uint64), part - part[0], axis=0).view(np.uint8))
-    ones = np.add.reduceat(np.concatenate(sums).astype(np.int64), np.cumsum(runs) - runs, axis=0)
-    major = (2 * ones > shingles[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    out[full] = np.add.reduceat(np.concatenate(sums).astype(np.int64), np.cumsum(runs) - runs, axis=0)
+    return out, shingles
+
+
+def majority(ones: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    return np.packbits((2 * ones > shingles[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def fingerprints(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
+    """One unsigned 64-bit SimHash per text: a bit is 1 if over half the shingles' hashes have it; no words: 0."""
+    return majority(*bit_counts(texts, width, seed))
+
+
+def shingle_sets(texts: pa.Array, width: int = 5, seed: int = 42) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text."""
+    hashes, shingles = _shingle_hashes(texts, width, seed)
+    return [np.unique(part) for part in np.split(hashes, np.cumsum(shingles)[:-1])] if len(shingles) else []
+
+
+def reference_fingerprints(count: int, seed: int) -> np.ndarray:
+    """``count`` scattered 64-bit fingerprints as a 64 x count matrix of -1 and 1."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (64, count)).astype(np.float32) * 2 - 1
+
+
+def nearest_references(ones: np.ndarray, shingles: np.ndarray, references: np.ndarray, nearest: int) -> np.ndarray:
+    """Numbers of the ``nearest`` references of each text, ascending.
+
+    The distance is Hamming distance in which a bit weighs as much as its majority among the shingles is clear, so that
+    bits that a few changed words could turn hardly count.
+    """
+    margin = (2 * ones - shingles[:, None]).astype(np.float32)
+    margin /= np.maximum(shingles, 1)[:, None]
+    found = np.argpartition(-(margin @ references), nearest - 1, axis=1)[:, :nearest]
+    return np.sort(found, axis=1)
 
 
 def sliced(texts: pa.Array, most: int = 1 << 20):

@@ -47,6 +47,33 @@ def near_components(rows: list[tuple], radius: int = 4) -> list[tuple]:
     return [(ident, f"{fps[i]:016x}", min(least[find(i)], default=None)) for i, (ident, _) in enumerate(rows)]
 
 
+def shingle_set(text: str | None, width: int = 5) -> set[bytes]:
+    w = [x.translate(LOWER) for x in words(text)]
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def kept_of_similar(rows: list[tuple], similarity: float = 0.8) -> list[int]:
+    """Places of the (id, text) rows that stay: the least id of each group of similar texts, all rows without words."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (ident, _) in enumerate(rows):
+        groups[find(i)].append((ident is None, ident or 0, i))
+    first = {min(g)[2] for g in groups.values()}
+    return [i for i in range(len(rows)) if i in first or not sets[i]]
+
+
 def secrets(text: str | None) -> dict:
     text = text or ""
     spans = []

@@ -105,21 +105,61 @@ def test_near_groups(spark, dense):
     assert simhash_dedup.near_groups(docs(spark, [])).count() == 0
 
 
-def test_drop_near_copies(spark):
-    rows = near_rows()
-    left = [r.doc_id for r in simhash_dedup.drop_near_copies(docs(spark, rows)).collect()]
-    want = brute.near_components(rows)
-    wordy = [c for (_, t), (_, _, c) in zip(rows, want, strict=True) if brute.words(t)]
-    assert len(left) == len(set(wordy)) + sum(not brute.words(t) for _, t in rows)
+def changed(rng, text, share):
+    """``text`` with about ``share`` of its words replaced."""
+    return " ".join(f"new{rng.integers(10**9)}" if rng.random() < share else w for w in text.split())
+
+
+def similar_rows():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(10**6)}" for _ in range(n)) for n in (3, 30, 80, 200, 700)]
+    rows = [(10 * k + 1000, changed(rng, t, 0.02)) for t in texts for k in range(3)]
+    rows = [(i + 7 * n, t) for n, (i, t) in enumerate(rows)] + [(n + 1, t) for n, t in enumerate(texts)]
+    # many copies of one text that differ from it in a word or more, and from each other in twice as many
+    rows += [(5000 + n, changed(rng, texts[3], 0.006)) for n in range(90)] + EDGE
+    return rows + [(None, texts[2].upper()), (9000, texts[2].replace(" ", " \n"))]
+
+
+@pytest.mark.parametrize("crowded", [64, 3])
+def test_drop_near_copies(spark, crowded, monkeypatch):
+    monkeypatch.setattr(simhash_dedup.similar_groups, "__defaults__", (*simhash_dedup.similar_groups.__defaults__[:-1], crowded))
+    rows = similar_rows()
+    left = simhash_dedup.drop_near_copies(docs(spark, rows).transform(clash))
+    assert left.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    want = [rows[i] for i in brute.kept_of_similar(rows)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr) and len(want) < len(rows) / 3
+    assert simhash_dedup.drop_near_copies(docs(spark, [])).count() == 0
 
 
-def test_pivot_gap_is_a_lower_bound(spark):
+def test_distance_tables_discard_no_pair_within_the_radius(spark):
     rng = np.random.default_rng(1)
-    pairs = rng.integers(-(2**63), 2**63, (500, 2)).tolist()
-    df = spark.createDataFrame(pairs, "a bigint, b bigint")
-    gap = simhash_dedup.pivot_gap(simhash_dedup.pivot_table(F.col("a")), simhash_dedup.pivot_table(F.col("b")))
-    assert df.where(gap > F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).count() == 0
-    assert df.where(gap > 4).count() > 400
+    pairs = [(int(a), int(a) ^ sum(1 << int(b) for b in rng.choice(63, n % 12, replace=False))) for n, a in enumerate(rng.integers(-(2**63), 2**63, 400))]
+    df = spark.createDataFrame(pairs + rng.integers(-(2**63), 2**63, (400, 2)).tolist(), "a bigint, b bigint")
+    df = df.select(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"), *[F.array(*(simhash_dedup.pivot_table(F.col(c))[i] for i in range(10))).alias(c) for c in "ab"])
+    for radius in (0, 4, 9):
+        ok = df.withColumn("ok", simhash_dedup.within(F.col("a"), F.col("b"), radius)).groupBy((F.col("d") <= radius).alias("near")).agg(F.avg(F.col("ok").cast("int")))
+        got = dict(ok.collect())
+        assert got[True] == 1 and (radius > 4 or got[False] < 0.3)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4])
+def test_links_of_crowded_buckets(spark, radius):
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 3)]
+    fps = list(dict.fromkeys(x ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False)) for x in base for n in (0, 1, 2, 3, 4) for _ in range(3)))
+    got = {frozenset((r.src, r.dst)) for r in simhash_dedup.ball_links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), radius).collect()}
+    every = {frozenset((a, b)) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= radius}
+    assert got <= every
+
+    def parts(edges):
+        root = {x: x for x in fps}
+        for _ in fps:
+            for e in edges:
+                a, b = e
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(got) == parts(every)
 
 
 @pytest.mark.parametrize("count", [10, 1 << 24, 1 << 30])

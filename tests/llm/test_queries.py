@@ -105,11 +105,7 @@ def test_pipeline(spark, sf_dir, docs):
     rows = [(int(i), t, s) for i, t, s, ok in zip(docs.doc_id, docs.text, docs.source, letters & (score >= 0.5), strict=True) if ok]
     last = {t: max(i for i, u, _ in rows if u == t) for _, t, _ in rows}
     rows = [r for r in rows if last[r[1]] == r[0]]
-    comp = brute.near_components([r[:2] for r in rows])
-    first = defaultdict(lambda: 10**18)
-    for i, _, c in comp:
-        first[c] = min(first[c], i)
-    rows = [r for r, (i, fp, c) in zip(rows, comp, strict=True) if first[c] == i or int(fp, 16) == 0]
+    rows = [rows[i] for i in brute.kept_of_similar([r[:2] for r in rows])]
     times = plain_mix(rows)
     want = pieces([r[:2] for r, k in zip(rows, times, strict=True) for _ in range(k)])
     check_pieces(corpus_pipeline.run(spark, sf_dir).collect(), want)
