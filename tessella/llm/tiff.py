@@ -1,8 +1,10 @@
-"""TIFF media columns (operator 5): write payloads as multi-page TIFF, walk and decode any baseline TIFF by page.
+"""TIFF media columns (operator 5): write payloads as multi-page TIFF, walk and decode TIFF files page by page.
 
-The reader follows the chain of image directories in either byte order, takes strips or tiles, decodes PackBits, LZW
-(either bit order of the code-width change is the standard's), deflate or plain data, undoes horizontal differencing
-and yields one page at a time. A broken file yields the pages before the fault and then a row that names it.
+The reader follows the chain of image directories in either byte order, takes strips or tiles, chunky or planar samples of
+1, 4, 8 or 16 bits in either bit order, decodes PackBits, LZW, deflate or plain data, undoes horizontal differencing and
+yields one page at a time. Not read: the fax and JPEG codings, and samples of unequal or other widths. A page's samples are
+never larger than what its file could hold at its coding's best ratio, and all of them come from the file: a strip or
+tile that is missing is a fault. A broken file yields the pages before the fault and then a row that names it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from tessella.llm.tables import table
 
 # Tag numbers, compression codes and field sizes of the format.
 WIDTH_TAG, LENGTH_TAG, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 266, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8}
 FIELD_CODES = {1: "B", 3: "H", 4: "I"}
@@ -32,6 +34,10 @@ ROW = 576  # samples in a row of a stored payload
 PAGE_ROWS = 256
 PAD = 255
 _BATCH = 4 << 20
+#: No coding here packs more bytes into one: LZW codes of 12 bits stand for strings of under 4096.
+_BEST_RATIO = 4096
+_FAULTS = (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error)
+_TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 def packbits(data: bytes) -> bytes:
@@ -116,6 +122,8 @@ def unlzw(data: bytes, size: int) -> bytes:
         if code == 257:
             break
         if before is None:
+            if code >= len(table):
+                raise ValueError("LZW code beyond the table")
             entry = table[code]
         else:
             if code < len(table):
@@ -212,13 +220,17 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
         place = at + 2 + 12 * i
         tag, kind, n = struct.unpack_from(f"{order}HHI", data, place)
         if kind in FIELD_CODES:
+            if FIELD_BYTES[kind] * n > len(data):
+                raise ValueError("a field is longer than the file")
             where = place + 8 if FIELD_BYTES[kind] * n <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
             fields[tag] = list(struct.unpack_from(f"{order}{n}{FIELD_CODES[kind]}", data, where))
     return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * count)[0]
 
 
 def _block(data: bytes, compression: int, predictor: int, rows: int, cols: int, samples: int, bits: int, order: str) -> np.ndarray:
-    size = rows * cols * samples * bits // 8
+    """Samples of a strip or tile, rows x cols x samples; rows of less than a byte a sample end with a whole byte."""
+    per_row = -(-cols * samples * bits // 8)
+    size = rows * per_row
     if compression == NONE:
         raw = data
     elif compression == PACKBITS:
@@ -226,11 +238,17 @@ def _block(data: bytes, compression: int, predictor: int, rows: int, cols: int,
     elif compression == LZW:
         raw = unlzw(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(data)
+        raw = zlib.decompressobj().decompress(data, size) if size else b""
     else:
         raise ValueError(f"compression {compression} isn't supported")
     if len(raw) < size:
         raise ValueError("a strip or tile is too short")
+    if bits < 8:
+        if predictor != 1:
+            raise ValueError("differencing is for 8 and 16 bits")
+        parts = np.frombuffer(raw[:size], np.uint8).reshape(rows, per_row)
+        parts = np.unpackbits(parts, axis=1) if bits == 1 else np.stack([parts >> 4, parts & 15], axis=2).reshape(rows, -1)
+        return parts[:, : cols * samples].reshape(rows, cols, samples)
     block = np.frombuffer(raw[:size], dtype=np.dtype(f"{order}u{bits // 8}")).reshape(rows, cols, samples)
     if predictor == 2:
         block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
@@ -239,8 +257,38 @@ def _block(data: bytes, compression: int, predictor: int, rows: int, cols: int,
     return block
 
 
+def _image(data: bytes, f: dict[int, list[int]], order: str) -> tuple[np.ndarray, int]:
+    """(height x width x samples, bits a sample) of one directory."""
+    width, height, samples = f[WIDTH_TAG][0], f[LENGTH_TAG][0], f.get(SAMPLES, [1])[0]
+    widths, compression, predictor, planar = set(f.get(BITS, [1])), f.get(COMPRESSION, [1])[0], f.get(PREDICTOR, [1])[0], f.get(PLANAR, [1])[0]
+    if len(widths) != 1 or not widths <= {1, 4, 8, 16} or planar not in (1, 2):
+        raise ValueError("only equal samples of 1, 4, 8 or 16 bits are supported")
+    (bits,) = widths
+    if not (width and height and samples) or width * height * samples * bits > 8 * _BEST_RATIO * len(data):
+        raise ValueError("an image without samples, or larger than its file can hold")
+    image = np.empty((height, width, samples), dtype=np.dtype(f"u{max(bits // 8, 1)}"))
+    tiled = TILE_OFFSETS in f
+    wide, high = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, [height])[0], height))
+    if not (wide and high) or wide * high * samples * bits > 8 * _BEST_RATIO * len(data):
+        raise ValueError("strips or tiles without samples, or larger than their file can hold")
+    offsets, sizes = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+    across, down, planes = -(-width // wide), -(-height // high), samples if planar == 2 else 1
+    if len(offsets) != len(sizes) or len(offsets) != across * down * planes:
+        raise ValueError("strips or tiles are missing or too many")
+    for k, (start, n) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, k = divmod(k, across * down)
+        y, x = k // across * high, k % across * wide
+        raw = data[start : start + n]
+        if f.get(FILL_ORDER, [1])[0] == 2:
+            raw = raw.translate(_TURNED)
+        rows = high if tiled else min(high, height - y)
+        block = _block(raw, compression, predictor, rows, wide, samples // planes, bits, order)
+        image[y : y + rows, x : x + wide, plane if planes > 1 else slice(None)] = (block[..., 0] if planes > 1 else block)[: height - y, : width - x]
+    return image, bits
+
+
 def pages_of(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file in the order of its directories; ValueError or struct.error at a fault."""
+    """The pages of a TIFF file in the order of its directories; one of ``_FAULTS`` at a fault. Samples under 8 bits take a byte each."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -251,34 +299,21 @@ def pages_of(data: bytes) -> Iterator[Page]:
             raise ValueError("the directories form a loop")
         seen.add(at)
         f, at = _directory(data, at, order)
-        width, height, samples = f[WIDTH_TAG][0], f[LENGTH_TAG][0], f.get(SAMPLES, [1])[0]
-        bits, compression, predictor = f.get(BITS, [1])[0], f.get(COMPRESSION, [1])[0], f.get(PREDICTOR, [1])[0]
-        if bits not in (8, 16) or f.get(PLANAR, [1])[0] != 1:
-            raise ValueError("only 8 or 16 bits a sample in one plane are supported")
-        image = np.empty((height, width, samples), dtype=np.dtype(f"u{bits // 8}"))
-        if TILE_OFFSETS in f:
-            tw, th = f[TILE_WIDTH][0], f[TILE_LENGTH][0]
-            across = -(-width // tw)
-            for k, (start, n) in enumerate(zip(f[TILE_OFFSETS], f[TILE_COUNTS], strict=True)):
-                y, x = k // across * th, k % across * tw
-                block = _block(data[start : start + n], compression, predictor, th, tw, samples, bits, order)
-                image[y : y + th, x : x + tw] = block[: height - y, : width - x]
-        else:
-            step = min(f.get(ROWS_PER_STRIP, [height])[0], height)
-            for k, (start, n) in enumerate(zip(f[STRIP_OFFSETS], f[STRIP_COUNTS], strict=True)):
-                rows = min(step, height - k * step)
-                image[k * step : k * step + rows] = _block(data[start : start + n], compression, predictor, rows, width, samples, bits, order)
-        yield Page(number, width, height, samples, bits, image.tobytes())
+        image, bits = _image(data, f, order)
+        yield Page(number, image.shape[1], image.shape[0], image.shape[2], bits, image.tobytes())
         number += 1
 
 
 def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (…, media) to rows (…, item, page, width, height, samples, bits, data, error), a file's pages one after the other."""
+    """Rows (…, media) to rows (…, item, page, width, height, samples, bits, data, error), a file's pages one after the other;
+    the media itself is left out, so that a row holds one page."""
     item = 0
     for batch in batches:
         at, rows, size = [], [], 0
 
-        def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+        others = batch.drop_columns(["media"])
+
+        def flush(batch: pa.RecordBatch = others) -> pa.RecordBatch:
             more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.string()], strict=True)]
             names = [*batch.schema.names, "item", "page", "width", "height", "samples", "bits", "data", "error"]
             return pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), *more], names)
@@ -293,9 +328,9 @@ def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if size >= _BATCH:
                         yield flush()
                         at, rows, size = [], [], 0
-            except (ValueError, KeyError, struct.error, zlib.error) as e:
+            except _FAULTS as e:
                 at.append(i)
-                rows.append((item, number, None, None, None, None, None, str(e)))
+                rows.append((item, number, None, None, None, None, None, str(e) or type(e).__name__))
             item += 1
         if rows:
             yield flush()
@@ -312,15 +347,11 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str = "media") -> DataFram
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-
-    def without_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in read_pages(batches):
-            yield b.drop_columns(["media"])
-
-    return rows.mapInArrow(without_media, f"id {kind}, {PAGE_SCHEMA}")
+    return rows.mapInArrow(read_pages, f"id {kind}, {PAGE_SCHEMA}")
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "n_bytes", "media_bytes", "media_sha256", "media"]
     for batch in batches:
         at = 0
         for part in sliced(batch["text"]):
@@ -329,15 +360,19 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = text.as_py()
                 lengths.append(len(data))
                 media.append(encode_tiff(data + bytes([PAD]) * (-len(data) % ROW if data else ROW)))
-            yield pa.RecordBatch.from_arrays([batch["id"].slice(at, len(part)), pa.array(lengths, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+            own = [pa.array(lengths, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(at, len(part)), *own, pa.array(media, pa.binary())], names)
             at += len(part)
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, media``: each text's UTF-8, padded with 255 to a positive multiple of 576, as a TIFF file; null counts as empty."""
+    """``id, n_bytes, media_bytes, media_sha256, media``: each text's UTF-8, padded with 255 to a positive multiple of 576, as a TIFF file; null counts as empty.
+
+    Repeated rows and null ids are stored one by one, equal texts alike; an empty table gives an empty result; other columns are ignored.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_store, f"id {kind}, n_bytes bigint, media binary")
+    return rows.mapInArrow(_store, f"id {kind}, n_bytes bigint, media_bytes bigint, media_sha256 string, media binary")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,11 +381,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state, out = None, []
 
     def close() -> None:
-        ident, n_bytes, media, pages, sha, size, tail, counts = state
+        ident, n_bytes, media_bytes, media_sha256, pages, sha, size, tail, counts = state
         total = int((counts * np.arange(256)).sum())
         squares = int((counts * np.arange(256) ** 2).sum())
         feature = f"pages={pages};sum={total};squares={squares};distinct={int((counts > 0).sum())}"
-        out.append((ident, n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
+        out.append((ident, n_bytes, size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, feature))
 
     def flush(kind: pa.DataType) -> pa.RecordBatch:
         kinds = [kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -365,13 +400,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if state:
                     close()
                 item = batch["item"][i].as_py()
-                state = [batch["id"][i].as_py(), batch["n_bytes"][i].as_py(), batch["media"][i].as_py(), 0, hashlib.sha256(), 0, b"", np.zeros(256, np.int64)]
+                state = [*(batch[c][i].as_py() for c in ("id", "n_bytes", "media_bytes", "media_sha256")), 0, hashlib.sha256(), 0, b"", np.zeros(256, np.int64)]
             data = batch["data"][i].as_py()
-            state[3] += 1
-            state[4].update(data)
-            state[5] += len(data)
-            state[6] = (state[6] + data)[-32:]
-            state[7] += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+            state[4] += 1
+            state[5].update(data)
+            state[6] += len(data)
+            state[7] = (state[7] + data[-32:])[-32:]
+            state[8] += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         kind = batch.schema.field("id").type
         if len(out) >= 1000:
             yield flush(kind)
@@ -383,6 +418,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a TIFF file and read back: digests of payload and file, and sums over the samples as feature."""
     docs = table(spark, sf_dir, "documents")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"

@@ -2,8 +2,8 @@
 
 A host's canonical key is its labels in reverse, each ended by ``\\x00``; a rule's host becomes the interval
 of keys that start with its key, which holds the host and all subdomains. URLs and rules are dealt to key
-ranges, sorted together and swept once: a stack holds the active, nested rules of the current key, and the
-longest whose path starts the URL's path wins.
+ranges, sorted together and swept once: a stack holds the hosts of the active, nested rules of the current key with
+their paths by length, and the longest rule whose path starts the URL's path wins.
 
 Range bounds come from a bounded sample of keys (as Spark's own range partitioner does) and include a row
 hash, so that one hot URL spreads over several ranges. A rule goes to each range that its interval meets.
@@ -11,7 +11,7 @@ hash, so that one hot URL spreads over several ranges. A rule goes to each range
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,22 +45,46 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x00"), F.lit("\x00"))
 
 
+class _Level:
+    """The rules of one host key: the longest path that starts a URL's path is found by a look-up per length of path."""
+
+    def __init__(self, part: int, key: str, host: str):
+        self.part, self.key, self.host = part, key, host
+        self.verdict_of: dict[str, str] = {}
+        self.lengths: list[int] = []
+
+    def add(self, path: str, verdict: str) -> None:
+        self.verdict_of[path] = max(verdict, self.verdict_of.get(path, verdict))
+        at = bisect_left(self.lengths, len(path))
+        if self.lengths[at : at + 1] != [len(path)]:
+            self.lengths.insert(at, len(path))
+
+    def longest(self, path: str) -> str | None:
+        for n in reversed(self.lengths[: bisect_right(self.lengths, len(path))]):
+            if path[:n] in self.verdict_of:
+                return path[:n]
+        return None
+
+
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, kind): rules (kind 0) come before the URLs (kind 1) of the same key."""
-    stack: list[tuple[str, str, str, str, str]] = []  # key, host, path, verdict, host + path
+    stack: list[_Level] = []
     for batch in batches:
         rules, verdicts, keep = [], [], []
         rows = zip(*(batch[c].to_pylist() for c in ("part", "key", "kind", "host", "path", "verdict")), strict=True)
         for i, (part, key, kind, host, path, verdict) in enumerate(rows):
-            while stack and not (stack[-1][0] == part and key.startswith(stack[-1][1])):
+            while stack and not (stack[-1].part == part and key.startswith(stack[-1].key)):
                 stack.pop()
             if kind == 0:
-                stack.append((part, key, host, path, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Level(part, key, host))
+                stack[-1].add(path, verdict)
                 continue
             best = None
-            for _, _, h, p, v in stack:
-                if path.startswith(p) and (host == h or host.endswith("." + h)) and (best is None or (len(h) + len(p), len(h), v) > best[0]):
-                    best = ((len(h) + len(p), len(h), v), h + p, v)
+            for level in stack:
+                p = level.longest(path)
+                if p is not None and (best is None or (len(level.host) + len(p), len(level.host)) > best[0]):
+                    best = ((len(level.host) + len(p), len(level.host)), level.host + p, level.verdict_of[p])
             keep.append(i)
             rules.append(best and best[1])
             verdicts.append(best[2] if best else default)
@@ -90,7 +114,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     spread = F.explode(F.sequence(place(F.col("key")), place(F.concat("key", F.lit("\U0010ffff")))))
     null_id = F.lit(None).cast(df.schema[id_col].dataType)
     of_rules = keyed.select(spread.alias("part"), "key", F.lit(0).alias("kind"), "host", "path", "verdict", null_id.alias("id"))
-    both = of_urls.unionByName(of_rules).repartition(max(ranges, 1), "part").sortWithinPartitions("part", "key", "kind")
+    both = of_urls.unionByName(of_rules).repartitionById(max(ranges, 1), F.col("part")).sortWithinPartitions("part", "key", "kind")
     kind = df.schema[id_col].dataType.simpleString()
     return both.mapInArrow(lambda it: _sweep(it, default), f"id {kind}, host string, path string, rule string, verdict string")
 
@@ -117,6 +141,7 @@ def _bounds(urls: DataFrame, ranges: int) -> list[str]:
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the contract's rules; a null url is judged as empty."""
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     found = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return found.withColumnRenamed("id", "page_id")

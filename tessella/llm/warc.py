@@ -1,8 +1,9 @@
 """WARC archives with segmented records and chunked HTTP bodies (operator 3).
 
 Writing: each page is an HTTP response with a chunked body, cut into segments of ``SEGMENT`` bytes; a payload seen
-before becomes a revisit of the record with the smallest page id. Spark's text sink writes the records (each ends in
-CRLF CRLF, whose last byte is the line separator), so commits, retries and any store that Spark writes to just work.
+before becomes a revisit of the record with the smallest page id. Each record is a gzip member of its own, so that
+archives can be read from any record on. Spark's text sink writes the members (the last byte of one is the high byte of
+its length, zero below 16 MiB, and serves as line separator), so commits, retries and any store that Spark writes to just work.
 
 Reading: archives are read as binary files of bounded size and walked by Content-Length. Unsegmented records are
 decoded where they are; segments are dealt by origin id, sorted by segment number, checked for gaps and for the total
@@ -11,6 +12,7 @@ length, joined, and then freed of their chunked framing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ DEDUP_BYTES = 100
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"  # archives of equal tables are equal
 _BATCH = 4 << 20
+_PIECE = 1 << 14
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -46,8 +49,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size without an end")
-        size = int(body[at:end].split(b";")[0], 16)
-        at = end + 2
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+            raise ValueError("chunk size isn't a hexadecimal number")
+        size, at = int(digits, 16), end + 2
         if not size:
             if body[at : at + 2] != b"\r\n" and not body.endswith(b"\r\n\r\n"):
                 raise ValueError("no end of the last chunk")
@@ -97,13 +102,21 @@ def records_of(ident: str, page_id, url: str | None, payload: bytes, digest: str
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _urn(name)), *about[:2], ("WARC-Segment-Origin-ID", _urn(ident)), ("WARC-Segment-Number", str(k)), *end], part)
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return (packer.compress(record) + packer.flush())[:-1]
+
+
 def _write(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
+    if segment >= 1 << 23:
+        raise ValueError("segments are less than 8 MiB")
     held, size = [], 0
     for batch in batches:
         for row in zip(*(batch[c] for c in ("ident", "page_id", "url", "payload", "digest", "first", "first_page")), strict=True):
             for record in records_of(*(x.as_py() for x in row), segment):
-                held.append(record[:-1])  # the sink's line separator is the last byte
-                size += len(record)
+                held.append(member(record))
+                size += len(held[-1])
             if size >= _BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
                 held, size = [], 0
@@ -112,7 +125,10 @@ def _write(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Recor
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT, dedup_bytes: int = DEDUP_BYTES) -> None:
-    """Write one WARC record (or its segments) per row of ``pages`` below ``path``, gzip-compressed.
+    """Write one WARC record (or its segments) per row of ``pages`` below ``path``, a gzip member each.
+
+    Repeated rows are records of their own, a null page id is left out of its record, very long payloads are segmented,
+    an empty table gives empty archives, names of other columns don't matter.
 
     A null html is an empty payload, a null url is ``urn:none``. Of equal payloads of ``dedup_bytes`` at least, that with
     the smallest page id is the response (nulls last, then the first row by position), others revisit it. Only the ids of
@@ -130,54 +146,86 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     again = again.select("rid", F.md5(F.concat_ws(":", F.col("frid.file"), F.col("frid.row"))).alias("first"), "first_page")
     rows = all_rows.join(again, "rid", "left").select(ident.alias("ident"), "page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), "first", "first_page")
     records = rows.mapInArrow(lambda it: _write(it, segment), "record binary")
-    (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
-def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of an archive, plain or gzip with one or more members."""
-    while data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(parts)
+def plain(data: bytes) -> Iterator[bytes]:
+    """The content of an archive: as it is, or that of its gzip members one by one. ValueError or zlib.error at a fault."""
     at = 0
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start, size = end + 4, int(fields["content-length"])
-        yield fields, data[start : start + size]
-        at = start + size + 4
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            piece = data[at : at + _PIECE]
+            if not piece:
+                raise ValueError("a gzip member is cut off")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        yield b"".join(parts)
+
+
+def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record of an archive, plain or in gzip members; members may hold many
+    records, and records may go over members. ValueError or zlib.error at a fault, after the records before it."""
+    held = b""
+    for part in plain(data):
+        held, at = held + part, 0
+        while (end := held.find(b"\r\n\r\n", at)) >= 0:
+            if held[at : at + 5] != b"WARC/":
+                raise ValueError("no record where one should start")
+            lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")):
+                raise ValueError("a record without a length")
+            start, size = end + 4, int(fields["content-length"])
+            if len(held) < start + size + 4:
+                break
+            if held[start + size : start + size + 4] != b"\r\n\r\n":
+                raise ValueError("a record is longer or shorter than its length")
+            yield fields, held[start : start + size]
+            at = start + size + 4
+        held = held[at:]
+    if held:
+        raise ValueError("the last record is cut off" if held[:5] == b"WARC/" else "no record where one should start")
+
+
+_RAW = "origin string, segment int, total bigint, type string, page_id string, refers_to string, digest string, http boolean, block binary, error string"
 
 
-_RAW = "origin string, segment int, total bigint, type string, page_id string, refers_to string, digest string, block binary"
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch("[0-9]{1,9}", text) else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _RAW.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
-        for content in batch["content"]:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
             rows, size = [], 0
-            for f, block in walk(content.as_py()):
-                segment = f.get("warc-segment-number")
-                total = f.get("warc-segment-total-length")
-                rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), segment and int(segment), total and int(total), f["warc-type"],
-                             f.get("x-page-id"), f.get("x-refers-to-page-id"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, block))
-                size += len(block)
-                if size >= _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, size = [], 0
+            try:
+                for f, block in walk(content.as_py()):
+                    # what is no HTTP message is a payload as it is; continuations go by the kind of their first segment
+                    http = f.get("content-type", "").lower().startswith("application/http")
+                    rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), _number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length")), f.get("warc-type"),
+                                 f.get("x-page-id"), f.get("x-refers-to-page-id"), f.get("warc-payload-digest"), http, block, None))
+                    size += len(block)
+                    if size >= _BATCH:
+                        yield made(rows)
+                        rows, size = [], 0
+            except (ValueError, zlib.error) as e:
+                rows.append((None, None, None, None, None, None, None, None, None, f"{path}: {e}"))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield made(rows)
+
 
+def assemble(segments: list[tuple], http: bool = True, digest: str | None = None, payload_is_whole: bool = True) -> tuple[bytes | None, str | None]:
+    """(payload, error) of one record's segments (number, total, block), in any order; repeated segments count once.
 
-def assemble(segments: list[tuple]) -> tuple[bytes | None, str | None]:
-    """(payload, error) of one record's segments (number, total, block), in any order; repeated segments count once."""
+    A ``digest`` of kind sha256 is compared with the payload, unless the record has none of it (a revisit).
+    """
     by_number = {n or 1: (total, block) for n, total, block in segments}
     if sorted(by_number) != list(range(1, len(by_number) + 1)):
         return None, "segments missing"
@@ -189,9 +237,12 @@ def assemble(segments: list[tuple]) -> tuple[bytes | None, str | None]:
         if total != len(block):
             return None, f"total length is {total}, segments have {len(block)}"
     try:
-        return http_payload(block), None
+        payload = http_payload(block) if http else block
     except ValueError as e:
         return None, str(e)
+    if digest and digest.startswith("sha256:") and payload_is_whole and hashlib.sha256(payload).hexdigest() != digest[7:]:
+        return None, "the payload differs from its digest"
+    return payload, None
 
 
 def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +253,17 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def close() -> None:
         head = min(held, key=lambda r: r["segment"] or 1)
-        payload, error = assemble([(r["segment"], r["total"], r["block"]) for r in held])
+        if head["error"]:
+            out.append((None, None, None, None, None, None, head["error"]))
+            return
+        payload, error = assemble([(r["segment"], r["total"], r["block"]) for r in held], head["http"], head["digest"], head["type"] != "revisit")
         kind = "response" if head["type"] == "continuation" else head["type"]
-        out.append((of, kind, head["page_id"], head["refers_to"], head["digest"], payload, error))
+        out.append((of, kind, head["page_id"], head["refers_to"], (head["digest"] or "").removeprefix("sha256:") or None, payload, error))
 
     for batch in batches:
         for i in range(len(batch)):
             row = {c: batch[c][i].as_py() for c in batch.schema.names}
-            if row["origin"] != of and held:
+            if held and (row["origin"] != of or of is None or not row["segment"]):
                 close()
                 size += len(out[-1][5] or b"")
                 held = []
@@ -225,12 +279,15 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``origin, type, page_id, refers_to, digest, payload, error``: one row per record, segments joined.
+    """``origin, type, page_id, refers_to, digest, payload, error``: one row per record of the archives below ``path``,
+    whatever their names; segments joined.
 
-    A record with missing segments, a wrong total length or broken framing has a null payload and says so in ``error``.
-    A revisit's payload is empty; refers_to is the page id it names. Empty archives give no rows.
+    A record with missing segments, a wrong total length, broken framing or a payload that differs from its SHA-256 has a
+    null payload and says so in ``error``. A fault of the archive itself (cut off, no record) ends it with a row of nulls and
+    the ``error``. A revisit's payload is empty; refers_to is the page id it names. Records other than HTTP messages
+    have their block as payload. Empty archives give no rows.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_read, _RAW)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_read, _RAW)
     out = "origin string, type string, page_id string, refers_to string, digest string, payload binary, error string"
     # two scans of the archives: whole records are decoded in place, only segments are shuffled
     whole = raw.where("segment IS NULL").mapInArrow(_join_segments, out)
@@ -239,9 +296,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back: digest and length of its payload. Fails if a record has an error."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path).select(
+    found = read_archives(spark, path)
+    found = found.withColumn("type", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("type")))
+    records = found.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"), "origin", "digest",
     )

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,6 +291,17 @@ def test_url_rules(spark, ranges):
     assert url_rules.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_longest_path_of_many_rules():
+    level = url_rules._Level(0, "k", "h")
+    paths = [f"/{'x' * (i % 7)}{i}" for i in range(20_000)] + ["/", "/x"]
+    for p in paths:
+        level.add(p, "block" if len(p) % 2 else "allow")
+    level.add("/x", "block")
+    for path in ("/xx2", "/xx23456789", "/y", "", "/x", "no"):
+        assert level.longest(path) == max((p for p in paths if path.startswith(p)), key=len, default=None)
+    assert len(level.lengths) < 20 and level.verdict_of["/x"] == "block"
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 def plain_bits(train, text, order):
     """Code length of ``text`` by the definition, from dictionaries of counts."""
@@ -495,6 +508,48 @@ def test_segments():
     assert warc.assemble(parts[:2])[1] == "no total length"
 
 
+def record(block, more="", length=None):
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\n{more}Content-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_and_broken_archives(spark, tmp_path):
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    files = {
+        "CC-MAIN-1.warc.gz": gzip.compress(record(b"info: x\r\n", "Content-Type: application/warc-fields\r\n")) + gzip.compress(record(b"HTTP/1.1 200 OK\r\n\r\nbody", http)),
+        "plain.warc": record(b"HTTP/1.1 200 OK\r\n\r\none", http) + record(b"HTTP/1.1 200 OK\r\n\r\ntwo", http + "WARC-Payload-Digest: sha256:00\r\n"),
+        "cut.warc": record(b"a") + record(b"hello", length=100),
+        "cut.warc.gz": gzip.compress(record(b"b") * 3)[:-9],
+        "noise.warc": b"\x00" * 50,
+        "chunks.warc": record(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\n3\r\n-07\r\n", http),
+        "empty.warc": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert Counter(bytes(r.payload) for r in got if not r.error) == Counter([b"info: x\r\n", b"body", b"one", b"a"])
+    errors = sorted(r.error.rpartition(": ")[2] for r in got if r.error)
+    assert errors == sorted(["the payload differs from its digest", "the last record is cut off", "a gzip member is cut off", "no record where one should start", "chunk size isn't a hexadecimal number"])
+
+
+@given(st.binary(max_size=200), st.integers(0, 400), st.lists(st.tuples(st.integers(0, 400), st.integers(0, 255)), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_damaged_archives_end(noise, cut, flips):
+    made = bytearray(record(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(noise, 7)) * 2)
+    for at, value in flips:
+        made[at % len(made)] = value
+    try:
+        for _, block in warc.walk(bytes(made[: len(made) - cut])):
+            warc.assemble([(None, None, block)])
+    except ValueError:
+        pass
+
+
+def test_no_pages(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id bigint, url string, html string, payload int, rid int")
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 0
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 @given(st.one_of(st.binary(max_size=600), st.lists(st.tuples(st.sampled_from(b"ab"), st.integers(1, 300)), max_size=12).map(lambda r: b"".join(bytes([c]) * n for c, n in r))))
 @settings(deadline=None)
@@ -518,6 +573,76 @@ def test_tiff_round_trip(compression, predictor, tiled):
     assert [(p.width, p.height) for p in pages] == [(576, 256), (576, 44)] and b"".join(p.data for p in pages) == payload
 
 
+# The published PackBits example, and the LZW example of the format's specification as 9-bit codes.
+PACKBITS_EXAMPLE = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+PACKBITS_PLAIN = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+LZW_CODES, LZW_PLAIN = [256, 7, 258, 8, 8, 258, 6, 6, 257], bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_published_examples():
+    assert tiff.unpackbits(PACKBITS_EXAMPLE, len(PACKBITS_PLAIN)) == PACKBITS_PLAIN
+    bits = "".join(f"{c:09b}" for c in LZW_CODES)
+    coded = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.unlzw(coded, 9) == LZW_PLAIN and tiff.lzw(LZW_PLAIN) == coded
+
+
+def tiny_tiff(fields, blocks, order="<"):
+    """A file of one directory; strip or tile places and sizes are filled in for the tags 273/279 or 324/325."""
+    at, body = 8, b"".join(blocks)
+    places, sizes = [], [len(b) for b in blocks]
+    for n in sizes:
+        places.append(at)
+        at += n
+    fields = {t: places if v == "places" else sizes if v == "sizes" else v for t, v in fields.items()}
+    extra, entries, start = b"", b"", 8 + len(body)
+    for tag, values in sorted(fields.items()):
+        raw = struct.pack(f"{order}{len(values)}I", *values)
+        entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + (raw if len(raw) == 4 else struct.pack(f"{order}I", start + len(extra)))
+        extra += b"" if len(raw) == 4 else raw
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}I", start + len(extra))
+    return head + body + extra + struct.pack(f"{order}H", len(fields)) + entries + b"\0\0\0\0"
+
+
+STRIPS = {256: [10], 257: [3], 262: [1], 273: "places", 277: [1], 278: [2], 279: "sizes"}
+
+
+def test_bits_and_planes():
+    one = tiny_tiff(STRIPS | {258: [1]}, [bytes([0b10100000, 0b01000000, 0, 0]), bytes([255, 255])])
+    (page,) = tiff.pages_of(one)
+    assert (page.bits, page.data) == (1, bytes([1, 0, 1, 0, 0, 0, 0, 0, 0, 1]) + bytes(10) + b"\1" * 10)
+    turned = tiny_tiff(STRIPS | {258: [1], 266: [2]}, [bytes([0b00000101, 0b00000010, 0, 0]), bytes([255, 255])], ">")
+    assert next(tiff.pages_of(turned)).data == page.data
+    four = tiny_tiff(STRIPS | {256: [3], 257: [1], 278: [1], 258: [4]}, [bytes([0x1F, 0x20])])
+    assert next(tiff.pages_of(four)).data == bytes([1, 15, 2])
+    planar = tiny_tiff(STRIPS | {256: [2], 257: [2], 278: [2], 258: [8, 8], 277: [2], 284: [2]}, [b"abcd", b"ABCD"])
+    assert next(tiff.pages_of(planar)).data == b"aAbBcCdD"
+
+
+@pytest.mark.parametrize("fields", [{256: [400_000], 257: [400_000]}, {278: [0]}, {278: [1]}, {256: [0]}, {258: [8, 16]}, {259: [3]}, {259: [5]}, {317: [9]}, {273: [8], 279: [1]}, {279: [5, 99]}])
+def test_broken_tiff(fields):
+    made = tiny_tiff(STRIPS | {258: [8]} | fields, [b"\xff" * 20, b"\xff" * 10])
+    with pytest.raises(ValueError):
+        list(tiff.pages_of(made))
+
+
+@given(st.binary(max_size=80), st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 255)), max_size=6), st.integers(0, 2000), st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]))
+@settings(max_examples=150, deadline=None)
+def test_damaged_tiff_gives_an_error_row(noise, flips, cut, compression):
+    made = bytearray(tiff.encode_tiff(b"payload " * 144, compression, 2, cut % 2 == 0))
+    for at, value in flips:
+        made[at % len(made)] = value
+    media = pa.RecordBatch.from_arrays([pa.array([bytes(made[: len(made) - cut]) if cut % 3 else bytes(made), b"II*\0" + noise, noise, None], pa.binary())], ["media"])
+    rows = [r for b in tiff.read_pages(iter([media])) for r in b.to_pylist()]
+    assert {r["item"] for r in rows} >= {2, 3} and all(r["error"] or r["data"] is not None for r in rows)
+
+
+def test_long_text_as_tiff():
+    text = np.random.default_rng(0).integers(32, 127, 48_000_000, dtype=np.uint8).tobytes().decode()
+    (row,) = [r for b in tiff._digest(tiff._store(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])]))) for r in b.to_pylist()]
+    payload = text.encode() + b"\xff" * (-len(text) % 576)
+    assert (row["payload_bytes"], row["payload_sha256"]) == (len(payload), hashlib.sha256(payload).hexdigest())
+
+
 def test_big_endian_16_bit_tiff():
     import struct
 
