@@ -6,8 +6,9 @@
    them. Distances weigh each bit by how clear its majority is (see ``nearest_references``). The ``NEAREST`` references
    of each table are kept, and every two of them are a join key: similar texts have nearly the same distances, so that
    they share two of their nearest references in some table.
-2. Pairs of a key are discarded if their fingerprints differ in over ``NEAR_BITS`` bits; the survivors are verified by
-   the exact similarity of their shingles.
+2. Pairs of a key are discarded if their fingerprints differ in over ``NEAR_BITS`` bits, then if the cosine of their bits'
+   margins (the distances to the 64 unit references, a byte each) is under ``MIN_COSINE``.
+3. The survivors are verified by the exact similarity of their shingles.
 
 ``near_groups`` links fingerprints within ``radius`` bits, all of them. Plain distances to scattered references gather
 around 32 (sigma 4), so one reference's test ``|d(x,p) - d(y,p)| <= 4`` passes over half of all pairs: a complete join
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.simhash_kernel import bit_counts, fingerprints, majority, nearest_references, reference_fingerprints, shingle_sets, sliced
+from tessella.llm.simhash_kernel import bit_counts, fingerprints, majority, margins, nearest_references, reference_fingerprints, shingle_sets, sliced
 from tessella.llm.tables import fresh, table
 from tessella.operators.components import connected_components
 from tessella.plans.storage import anchored, row_id, stage
@@ -41,9 +42,10 @@ DENSE = 1024
 PIVOTS = [(k * 0x9E3779B97F4A7C15 ^ k * k * 0xC2B2AE3D27D4EB4F) % 2**64 for k in range(1, 71)]
 SIMILARITY = 0.8
 SIMILAR_WIDTH = 5
-TABLES = 6
+TABLES = 4
 NEAREST = 4
 NEAR_BITS = 20
+MIN_COSINE = 0.8
 CROWDED = 64
 HUBS = 8
 
@@ -153,27 +155,40 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def signature_udf(width: int, references: int, tables: int, nearest: int):
-    """text -> struct(fp, keys): two of the nearest references of a table are a key; a text without words has none."""
+    """text -> struct(fp, margins, keys): two of the nearest references of a table are a key; a text without words has none."""
 
-    @F.arrow_udf("fp bigint, keys array<bigint>")
+    @F.arrow_udf("fp bigint, margins binary, keys array<bigint>")
     def signature(texts: pa.Array) -> pa.Array:
-        fps, keys, sizes = [], [], []
+        fps, bytes_, keys, sizes = [], [], [], []
         for part in sliced(texts):
             ones, shingles = bit_counts(part, width)
+            clear = margins(ones, shingles)
             fps.append(majority(ones, shingles).view("int64"))
+            bytes_ += [x.tobytes() for x in np.clip(np.rint(clear * 254), -127, 127).astype(np.int8)]
             own = []
             for t in range(tables):
-                near = nearest_references(ones, shingles, reference_fingerprints(references, t), nearest).astype(np.int64)
+                near = nearest_references(clear, reference_fingerprints(references, t), nearest).astype(np.int64)
                 own += [(t * references + near[:, i]) * references + near[:, j] for i, j in combinations(range(nearest), 2)]
             keys.append(np.stack(own, axis=1)[shingles > 0].ravel())
             sizes.append((shingles > 0) * len(own))
         ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64)), lists], ["fp", "keys"])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64)), pa.array(bytes_, pa.binary()), lists], ["fp", "margins", "keys"])
 
     return signature
 
 
+def cosine_udf():
+    """Of two arrays of 64 signed bytes each."""
+
+    @F.arrow_udf("double")
+    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.int8).reshape(-1, 64).astype(np.float64) for c in (a, b))
+        return pa.array((x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-9))
+
+    return cosine
+
+
 def shingles_udf(width: int):
     @F.arrow_udf("array<bigint>")
     def shingles(texts: pa.Array) -> pa.Array:
@@ -185,13 +200,15 @@ def shingles_udf(width: int):
 
 
 def references_for(rows: int) -> int:
-    """A power of two, so that a key has about four texts by chance at most: references ^ 2 >= 8 * rows."""
-    return 1 << max(6, ceil(log2(8 * max(rows, 1)) / 2))
+    """A power of two that grows with the square root of the rows, so that the number of texts that share a key by chance doesn't."""
+    return 1 << max(6, ceil(log2(4 * max(rows, 1)) / 2))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``src, dst`` of the pairs whose exact shingle similarity is ``similarity`` at least; ``docs``: doc, rid; ``texts``: rid, text."""
+    """``src, dst`` of the pairs whose exact shingle similarity is ``similarity`` at least; ``docs``: doc, rid, margins; ``texts``: rid, text."""
     pairs = stage(pairs.distinct(), "candidates")
+    pairs = pairs.join(docs.select(F.col("doc").alias("src"), F.col("margins").alias("m")), "src").join(docs.select(F.col("doc").alias("dst"), F.col("margins").alias("n")), "dst")
+    pairs = stage(pairs.select("src", "dst", cosine_udf()("m", "n").alias("cosine")).where(F.col("cosine") >= MIN_COSINE).select("src", "dst"), "candidates")
     needed = docs.join(pairs.select(F.col("src").alias("doc")).union(pairs.select("dst")).distinct(), "doc").select("doc", "rid")
     sets = stage(texts.join(stage(needed, "needed"), "rid").select("doc", shingles_udf(width)("text").alias("own")), "shingles")
     joined = pairs.join(sets.select(F.col("doc").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("doc").alias("dst"), F.col("own").alias("b")), "dst")
@@ -212,29 +229,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     sign = signature_udf(width, references_for(df.count()), tables, nearest)
     rows = df.select(row_id(df).alias("rid"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), sign(text).alias("s"))
-    rows = stage(rows.select("rid", "id", "digest", "s.fp", "s.keys"), "signatures")
+    rows = stage(rows.select("rid", "id", "digest", "s.*"), "signatures")
     # one text of each sort of equal ones; its number is fixed by being written
-    firsts = rows.groupBy("digest").agg(F.min("rid").alias("rid"))
-    docs = stage(firsts.select("digest", "rid", F.monotonically_increasing_id().alias("doc")), "distinct-texts")
-    keyed = rows.select("rid", "fp", "keys").join(docs.select("rid", "doc"), "rid").select("doc", "fp", F.explode("keys").alias("key"))
-    keyed = stage(keyed, "keyed")
-    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    keyed = stage(keyed.join(sizes, "key"), "keyed")
-    texts = df.select(row_id(df).alias("rid"), text.alias("text"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= near_bits
-
-    def pairs(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    firsts = rows.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid")
+    docs = stage(rows.join(firsts, "rid").select("digest", "rid", F.monotonically_increasing_id().alias("doc"), "fp", "margins", "keys"), "distinct-texts")
+    keyed = stage(docs.select("doc", "fp", F.explode("keys").alias("key")), "keyed")
+    full = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
+    few, many = keyed.join(full, "key", "left_anti"), keyed.join(full, "key")
+    docs, texts = docs.select("digest", "rid", "doc", "margins"), df.select(row_id(df).alias("rid"), text.alias("text"))
+
+    def pairs(a: DataFrame, b: DataFrame, which: str) -> DataFrame:
         """Pairs of rows (key, doc, fp) of ``a`` and ``b`` within ``near_bits``, the smaller doc first."""
-        b = b.select(*[F.col(c).alias(f"{c}_") for c in b.columns])
-        found = a.join(b, F.expr(on) & near("fp", "fp_"))
-        return found.select(F.least("doc", "doc_").alias("src"), F.greatest("doc", "doc_").alias("dst"))
-
-    few, many = keyed.where(F.col("n") <= crowded), keyed.where(F.col("n") > crowded).drop("n")
-    hubs = many.groupBy("key").agg(F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(0))).alias("h0"), *[
-        F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS)
-    ])
+        near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= near_bits
+        found = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(which) & near)
+        return found.select(F.least("a.doc", "b.doc").alias("src"), F.greatest("a.doc", "b.doc").alias("dst"))
+
+    hubs = many.groupBy("key").agg(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
     hubs = stage(hubs.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select("key", "h.doc", "h.fp"), "hubs")
-    first = pairs(few, few, "key = key_ AND doc < doc_").union(pairs(many, hubs, "key = key_ AND doc <> doc_"))
+    first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs, "a.doc <> b.doc"))
     links = _verified(first, docs, texts, width, similarity)
     found = connected_components(links)
     # crowded keys: what the hubs haven't joined is compared across components
@@ -243,7 +255,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = grouped.select("key", "component").distinct()
     apart = stage(pairs_of_parts(parts), "apart")
     left = grouped.join(apart, ["key", "component"])
-    second = pairs(left, grouped, "key = key_ AND other = component_")
+    second = pairs(left, grouped, "a.other = b.component")
     more = _verified(second, docs, texts, width, similarity)
     found = connected_components(links.union(more)) if not more.isEmpty() else found
     of_text = docs.join(found, F.col("doc") == F.col("node"), "left").select("digest", "doc", "component")

@@ -112,15 +112,19 @@ def reference_fingerprints(count: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (64, count)).astype(np.float32) * 2 - 1
 
 
-def nearest_references(ones: np.ndarray, shingles: np.ndarray, references: np.ndarray, nearest: int) -> np.ndarray:
+def margins(ones: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """How clear each bit's majority is, as a vector of length 1 per text."""
+    found = (2 * ones - shingles[:, None]).astype(np.float32)
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+
+
+def nearest_references(clear: np.ndarray, references: np.ndarray, nearest: int) -> np.ndarray:
     """Numbers of the ``nearest`` references of each text, ascending.
 
-    The distance is Hamming distance in which a bit weighs as much as its majority among the shingles is clear, so that
-    bits that a few changed words could turn hardly count.
+    The distance is Hamming distance in which a bit weighs as much as its majority is clear, so that bits that a few
+    changed words could turn hardly count.
     """
-    margin = (2 * ones - shingles[:, None]).astype(np.float32)
-    margin /= np.maximum(shingles, 1)[:, None]
-    found = np.argpartition(-(margin @ references), nearest - 1, axis=1)[:, :nearest]
+    found = np.argpartition(-(clear @ references), nearest - 1, axis=1)[:, :nearest]
     return np.sort(found, axis=1)
 
 
