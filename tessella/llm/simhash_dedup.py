@@ -221,8 +221,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of an ``anchored`` table: ``rid, id, doc, component``; doc is one per distinct text, component the
     least doc reachable over links, null for texts without links.
 
-    Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Keys with over
-    ``crowded`` texts compare all with ``HUBS`` of them first, and then texts of different components only. Null and
+    Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Texts of a key with
+    over ``crowded`` of them are compared with ``HUBS`` of these, drawn anew for each key, in place of all pairs. Null and
     wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
     other; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -249,25 +249,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs, "a.doc <> b.doc"))
     links = _verified(first, docs, texts, width, similarity)
     found = connected_components(links)
-    # crowded keys: what the hubs haven't joined is compared across components
-    grouped = many.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("component"))
-    grouped = stage(grouped, "crowded")
-    parts = grouped.select("key", "component").distinct()
-    apart = stage(pairs_of_parts(parts), "apart")
-    left = grouped.join(apart, ["key", "component"])
-    second = pairs(left, grouped, "a.other = b.component")
-    more = _verified(second, docs, texts, width, similarity)
-    found = connected_components(links.union(more)) if not more.isEmpty() else found
     of_text = docs.join(found, F.col("doc") == F.col("node"), "left").select("digest", "doc", "component")
     return rows.select("rid", "id", "digest").join(of_text, "digest").select("rid", "id", "doc", "component")
 
 
-def pairs_of_parts(parts: DataFrame) -> DataFrame:
-    """``key, component, other``: every two components of a key, the smaller one first."""
-    other = parts.select(F.col("key").alias("k"), F.col("component").alias("other"))
-    return parts.join(other, (F.col("key") == F.col("k")) & (F.col("component") < F.col("other"))).drop("k")
-
-
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts stays: that with the smallest id (null ids last; of repeated ids, one).
 

@@ -122,7 +122,7 @@ def similar_rows():
     return rows + [(None, texts[2].upper()), (9000, texts[2].replace(" ", " \n"))]
 
 
-@pytest.mark.parametrize("crowded", [64, 3])
+@pytest.mark.parametrize("crowded", [64, 12])
 def test_drop_near_copies(spark, crowded, monkeypatch):
     monkeypatch.setattr(simhash_dedup.similar_groups, "__defaults__", (*simhash_dedup.similar_groups.__defaults__[:-1], crowded))
     rows = similar_rows()
