@@ -63,6 +63,8 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame
         named = left.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         named = named.select("src", "dst", "w", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         left = stage(named.where("a <> b"), "msf-edges")
+    else:
+        raise RuntimeError(f"the forest isn't complete after {max_rounds} rounds")
     return left.select("src", "dst", "w").limit(0) if tree is None else tree
 
 
@@ -114,7 +116,7 @@ def all_pairs(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     raise RuntimeError("no fixed point")
 
 
-def levels(edges: DataFrame, seeds: DataFrame, max_level: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, seeds: DataFrame, max_level: int = 10_000) -> DataFrame:
     """``id, level``: breadth-first levels from the seeds (column id, level 0) along directed edges; a frontier join and an anti-join a round."""
     e = stage(edges.select("src", "dst").distinct(), "bfs-edges")
     front = stage(seeds.select("id", F.lit(0).alias("level")).distinct(), "bfs")
@@ -125,6 +127,8 @@ def levels(edges: DataFrame, seeds: DataFrame, max_level: int = 1000) -> DataFra
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"there are levels beyond {max_level}")
     return seen
 
 
@@ -140,10 +144,12 @@ def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         out = ready if out is None else out.unionByName(ready)
         left = stage(left.join(ready, "id", "left_anti"), "topo")
         e = stage(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"), "topo-edges")
+    else:
+        raise RuntimeError(f"there are levels beyond {max_rounds}")
     return left.select("id", F.lit(0).alias("level")).limit(0) if out is None else out
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``id, component`` (least member). Colouring: the largest id that reaches a vertex is its colour; what reaches the
     colour's own vertex backwards within the colour is its component; the rest goes on."""
     e = stage(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
@@ -165,6 +171,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         left = stage(left.join(found, "id", "left_anti"), "scc")
         gone = found.select("id")
         e = stage(without_vertices(e, gone), "scc-edges")
+    else:
+        raise RuntimeError(f"vertices are left after {max_rounds} rounds")
     least = done.groupBy("c").agg(F.min("id").alias("component"))
     return done.join(least, "c").select("id", "component")
 
@@ -205,7 +213,7 @@ def grow(cells: DataFrame, width: int, height: int, steps: list[tuple[int, int]]
     return seen
 
 
-def flow_down(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def flow_down(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``id, saliency``: 1 at the ``start`` vertices; elsewhere the sum over ascendants of saliency / descendants, level by level."""
     e = stage(edges.select("src", "dst").distinct(), "flow-edges")
     degree = e.groupBy("src").agg(F.count("*").alias("n"))
@@ -214,7 +222,7 @@ def flow_down(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> Dat
     now = stage(start.select("id", F.lit(1.0).alias("saliency")).distinct(), "flow")
     top = e.agg(F.max("level")).first()[0] or 0
     out = now
-    for k in range(1, min(top, max_rounds) + 1):
+    for k in range(1, top + 1):
         ready = e.where(F.col("level") == k)
         new = ready.join(out, ready["src"] == out["id"], "left").groupBy("dst").agg(F.sum(F.coalesce("saliency", F.lit(0.0)) / F.col("n")).alias("saliency"))
         new = new.select(F.col("dst").alias("id"), "saliency").join(now.select("id"), "id", "left_anti")

@@ -52,7 +52,7 @@ def nearest(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return best.select("frame", "p", "m.q", "m.d2")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, start: float, stage, rounds: int = 24) -> DataFrame:
+def nearest_any(left: DataFrame, right: DataFrame, start: float, stage, rounds: int = 60) -> DataFrame:
     """``frame, p, q, d2``: the nearest right point at any distance. The reach doubles for the points that found none;
     each round is a range join, and only those left over go on. Points of frames without right points are left out."""
     todo = stage(left.join(right.select("frame").distinct(), "frame", "left_semi"), "nearest")
@@ -62,9 +62,9 @@ def nearest_any(left: DataFrame, right: DataFrame, start: float, stage, rounds:
         out = found if out is None else out.union(found)
         todo = stage(todo.join(found.select("frame", F.col("p").alias("id")), ["frame", "id"], "left_anti").select(*left.columns), "nearest")
         if todo.isEmpty():
-            break
+            return out
         reach *= 2
-    return out
+    raise RuntimeError(f"points are left beyond a distance of {reach}")
 
 
 def closest_component_pairs(points: DataFrame, reach: float) -> DataFrame:

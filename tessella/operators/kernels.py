@@ -231,34 +231,48 @@ def convexity(points, max_gap: float) -> float:
 
 # -- matching ----------------------------------------------------------------------------------------------------------
 def assignment(cost) -> tuple[list[int], float]:
-    """(column of each row or -1, total) of least total cost; a rectangle's longer side stays partly free. Shortest augmenting paths."""
+    """(column of each row or -1, total) of least total cost; a rectangle's longer side stays partly free.
+
+    Rows come in one by one, each over a shortest alternating path to a free column: Dijkstra's search with a heap on
+    costs reduced by prices, which the path lengths then update.
+    """
     c = np.asarray(cost, float)
     if not c.size:
         return [-1] * len(c), 0.0
     flip = c.shape[0] > c.shape[1]
-    a = c.T if flip else c
-    n, m = a.shape
-    u, v, row_of, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while row_of[j0]:
-            used[j0] = True
-            cur = a[row_of[j0] - 1] - u[row_of[j0]] - v[1:]
-            better = ~used[1:] & (cur < least[1:])
-            least[1:][better], way[1:][better] = cur[better], j0
-            j1 = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
-            delta = least[j1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-        while j0:
-            row_of[j0], j0 = row_of[way[j0]], way[j0]
-    pairs = [(row_of[j] - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
+    table = (c.T if flip else c).tolist()
+    columns = range(len(table[0]))
+    row_price, column_price = [0.0] * len(table), [0.0] * len(columns)
+    owner: dict[int, int] = {}  # column -> row
+    for start, costs in enumerate(table):
+        row_price[start] = min(x - p for x, p in zip(costs, column_price, strict=True))
+        heap = [(costs[j] - row_price[start] - column_price[j], j, start) for j in columns]
+        heapq.heapify(heap)
+        settled: dict[int, tuple[float, int]] = {}  # column -> (length, row before it)
+        while True:
+            length, j, row = heapq.heappop(heap)
+            if j in settled:
+                continue
+            settled[j] = length, row
+            if j not in owner:
+                break
+            nxt = owner[j]
+            for k in columns:
+                if k not in settled:
+                    heapq.heappush(heap, (length + table[nxt][k] - row_price[nxt] - column_price[k], k, nxt))
+        end, whole = j, length
+        for j, (length, _) in settled.items():
+            column_price[j] -= whole - length
+            if j in owner:
+                row_price[owner[j]] += whole - length
+        row_price[start] += whole
+        held = {r: j for j, r in owner.items()}
+        while end is not None:
+            row = settled[end][1]
+            owner[end], end = row, held.get(row)
     out = [-1] * c.shape[0]
-    for i, j in pairs:
-        out[j if flip else i] = i if flip else j
+    for j, row in owner.items():
+        out[j if flip else row] = row if flip else j
     return out, float(sum(c[i, j] for i, j in enumerate(out) if j >= 0))
 
 
@@ -301,64 +315,83 @@ def align(target, source, skip: float, repeat: float, score) -> float:
 _AROUND = [(1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1)]
 
 
+def _deletable() -> np.ndarray:
+    """2 x 256 booleans: whether a pass of Guo-Hall thinning deletes a cell, by the byte of its set neighbours.
+
+    It does if the neighbours form one arc, the lesser number of set pairs is 2 or 3, and the cell isn't on the side that
+    the pass leaves alone; the second pass leaves alone the side opposite to the first one's.
+    """
+    on = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(bool)
+    after = lambda k: np.roll(on, -k, axis=1)
+    even = slice(0, 8, 2)
+    arcs = (~on & (after(1) | after(2)))[:, even].sum(axis=1)
+    pairs = np.minimum((on | after(1))[:, even].sum(axis=1), (after(1) | after(2))[:, even].sum(axis=1))
+    side = [(after(k + 1) | after(k + 2) | ~after(k + 7))[:, 0] & after(k)[:, 0] for k in (0, 4)]
+    return np.stack([(arcs == 1) & (pairs >= 2) & (pairs <= 3) & ~s for s in side])
+
+
+_DELETABLE = _deletable()
+
+
 def thin(image) -> np.ndarray:
     """Two in-place passes of Guo-Hall thinning in scan order: a cell sees the deletions before it."""
     r = np.array(image, float)
-    h, w = r.shape
-    for second in (False, True):
-        for y in range(1, h - 1):
-            for x in range(1, w - 1):
-                if r[y, x] <= 0:
-                    continue
-                p = [r[y + dy, x + dx] > 0 for dx, dy in _AROUND]
-                arcs = sum(not p[k] and (p[k + 1] or p[(k + 2) % 8]) for k in (0, 2, 4, 6))
-                one = sum(p[k] or p[k + 1] for k in (0, 2, 4, 6))
-                two = sum(p[k + 1] or p[(k + 2) % 8] for k in (0, 2, 4, 6))
-                if arcs == 1 and 2 <= min(one, two) <= 3:
-                    held = (p[5] or p[6] or not p[3]) and p[4] if second else (p[1] or p[2] or not p[7]) and p[0]
-                    if not held:
-                        r[y, x] = 0
-    return r
+    inner = np.flatnonzero(np.pad(r[1:-1, 1:-1] > 0, 1))
+    set_, reach = (r > 0).ravel(), [dy * r.shape[1] + dx for dx, dy in _AROUND]
+    for deletes in _DELETABLE.tolist():
+        for at in inner.tolist():
+            if set_[at] and deletes[sum(int(set_[at + step]) << k for k, step in enumerate(reach))]:
+                set_[at] = False
+    return np.where(set_.reshape(r.shape) | (r <= 0), r, 0)
+
+
+# Steps to the eight neighbours in scan order.
+_STEPS = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
+
+
+def _preference(ux: float, uy: float) -> list[int]:
+    """Steps that turn by less than a right angle from a direction, the straightest first; ties in scan order."""
+    along = [x * ux + y * uy for x, y in _STEPS]
+    return [k for k in sorted(range(8), key=lambda k: -along[k]) if along[k] > 0]
 
 
 def edge_tracks(mag, dx, dy, high: float, low: float, min_length: int = 1) -> list[list[tuple[int, int]]]:
     """Hysteresis tracks: from the strongest cell of ``high`` at least, both ways along the edge through cells of ``low`` at least,
-    turning by less than a right angle; a cell is in one track only. Ties: later in scan order first."""
-    h, w = mag.shape
-    used = np.zeros((h, w), bool)
-
-    def walk(x: int, y: int, ux: float, uy: float) -> list[tuple[int, int]]:
-        path = []
-        while mag[y, x] >= low and not used[y, x]:
-            used[y, x] = True
-            path.append((x, y))
-            best, to = 0.0, None
-            for j in (-1, 0, 1):
-                for i in (-1, 0, 1):
-                    X, Y = x + i, y + j
-                    if (i or j) and 0 <= X < w and 0 <= Y < h and mag[Y, X] > 0 and mag[Y, X] >= low and i * ux + j * uy > best:
-                        best, to = i * ux + j * uy, (X, Y)
-            if to is None:
-                break
-            ux, uy, (x, y) = to[0] - x, to[1] - y, to
-        return path
+    turning by less than a right angle; a cell is in one track only. Ties: later in scan order first.
 
-    seeds = sorted(((mag[y, x], y * w + x) for y in range(h) for x in range(w) if mag[y, x] > 0 and mag[y, x] >= high), reverse=True)
+    Where a track goes on from a cell depends on the step by which it came alone, so the next step is worked out for all
+    cells and steps at once; tracks follow these pointers until they leave the edge or meet a track.
+    """
+    m = np.pad(np.asarray(mag, float), 1)
+    live, wide = (m > 0) & (m >= low), m.shape[1]
+    reach = [y * wide + x for x, y in _STEPS]
+    next_step = np.full((8, m.size), -1)
+    for came, direction in enumerate(_STEPS):
+        for k in reversed(_preference(*direction)):
+            next_step[came][np.roll(live.ravel(), -reach[k])] = k
+    live, taken = live.ravel(), np.zeros(m.size, bool)
+
+    def on(at: int, step: int) -> list[int]:
+        cells = []
+        while step >= 0 and not taken[at + reach[step]]:
+            at += reach[step]
+            taken[at] = True
+            cells.append(at)
+            step = next_step[step][at]
+        return cells
+
+    seeds = np.flatnonzero(live & (m.ravel() >= high))
     tracks = []
-    for _, at in seeds:
-        y, x = divmod(at, w)
-        if used[y, x]:
+    for seed in seeds[np.lexsort((-seeds, -m.ravel()[seeds]))].tolist():
+        if taken[seed]:
             continue
-        along = np.arctan2(-dx[y, x], dy[y, x])
-        one = walk(x, y, np.cos(along), np.sin(along))
-        used[y, x] = False
-        along = np.arctan2(dx[y, x], -dy[y, x])  # the other way
-        other = walk(x, y, np.cos(along), np.sin(along))
-        track = other[:0:-1] + one
-        for X, Y in track:
-            used[Y, X] = True
-        if len(track) >= min_length:
-            tracks.append(track)
+        taken[seed] = True
+        y, x = divmod(seed, wide)
+        ux, uy = (dy[y - 1, x - 1], -dx[y - 1, x - 1]) if dx[y - 1, x - 1] or dy[y - 1, x - 1] else (1, 0)
+        ahead, behind = (on(seed, next((k for k in _preference(s * ux, s * uy) if live[seed + reach[k]]), -1)) for s in (1, -1))
+        cells = [*behind[::-1], seed, *ahead]
+        if len(cells) >= min_length:
+            tracks.append([(at % wide - 1, at // wide - 1) for at in cells])
     return tracks
 
 

@@ -11,7 +11,7 @@ from tessella.operators.components import connected_components
 from tessella.plans.storage import stage
 
 
-def depth_generations(cells: DataFrame, width: int, height: int, max_gen: int = 200) -> DataFrame:
+def depth_generations(cells: DataFrame, width: int, height: int, max_gen: int = 10_000) -> DataFrame:
     """``cells`` (frame, x, y, id) with ``gen``: 1 on the surface (not on the image border, a 4-neighbour missing), then one more for each
     step inwards over 4-neighbours; cells that no surface reaches have generation 0."""
     n = S.neighbour_counts(cells).where(~S.border(F.col("x"), F.col("y"), width, height) & (F.col("n4") < 4))
@@ -23,6 +23,8 @@ def depth_generations(cells: DataFrame, width: int, height: int, max_gen: int =
         if front.isEmpty():
             break
         seen = seen.unionByName(front.select(*seen.columns))
+    else:
+        raise RuntimeError(f"there are generations beyond {max_gen}")
     return cells.join(seen.select("id", "gen"), "id", "left").fillna(0, ["gen"])
 
 
@@ -45,7 +47,7 @@ def core_codes(cells: DataFrame, links: DataFrame, width: int, height: int) -> D
     return out.withColumns({"medial": (F.col("n_asc") >= 2) | (F.col("n_desc") == 0), "core": core})
 
 
-def flow_labels(cells: DataFrame, links: DataFrame, cores: DataFrame, rounds: int = 200) -> DataFrame:
+def flow_labels(cells: DataFrame, links: DataFrame, cores: DataFrame, rounds: int = 10_000) -> DataFrame:
     """``id, label``: labels of ``cores`` (id, label) flow to ascendants, generation by generation; of several the least wins."""
     now = stage(cores.select("id", "label"), "labels")
     seen = now
@@ -55,6 +57,8 @@ def flow_labels(cells: DataFrame, links: DataFrame, cores: DataFrame, rounds: in
         if now.isEmpty():
             break
         seen = seen.unionByName(now)
+    else:
+        raise RuntimeError(f"labels still flow after {rounds} rounds")
     return seen
 
 

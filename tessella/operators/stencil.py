@@ -120,18 +120,14 @@ def non_maximum_suppression(grad: DataFrame) -> DataFrame:
     two sides (north-east above a steep falling, south-west below a flat falling gradient) where it wins."""
     r = ring(grad, "g")
     n = dict(zip(("nw", "n", "ne", "w", "e", "sw", "s", "se"), (F.get("ring", F.lit(i)) for i in range(8)), strict=True))
-    ux, uy, c = F.col("dx"), F.col("dy"), F.col("g")
-    steep = F.abs(ux) < F.abs(uy)
-    same = ux * uy > 0
-    lead_, other = F.when(steep, F.abs(uy * c)).otherwise(F.abs(ux * c)), lambda a, b: F.abs(a + b)
-    first = (
-        F.when(same & steep, other(ux * n["se"], (uy - ux) * n["s"])).when(same, other(uy * n["se"], (ux - uy) * n["e"]))
-        .when(steep, other(ux * n["ne"], -(uy + ux) * n["n"])).otherwise(other(uy * n["ne"], -(ux + uy) * n["e"]))
-    )
-    second = (
-        F.when(same & steep, other(ux * n["nw"], (uy - ux) * n["n"])).when(same, other(uy * n["nw"], (ux - uy) * n["w"]))
-        .when(steep, other(ux * n["sw"], -(uy + ux) * n["s"])).otherwise(other(uy * n["sw"], -(ux + uy) * n["w"]))
-    )
+    ux, uy, c = F.abs("dx"), F.abs("dy"), F.col("g")
+    steep, same = ux < uy, F.col("dx") * F.col("dy") > 0
+    major, minor = F.greatest(ux, uy), F.least(ux, uy)
+    # the gradient leaves the ring between a cell on the nearer axis and one on a diagonal, minor / major of the way to the latter
+    between = lambda axis, diagonal: (major - minor) * axis + minor * diagonal
+    down = between(F.when(~steep, n["e"]).when(same, n["s"]).otherwise(n["n"]), F.when(same, n["se"]).otherwise(n["ne"]))
+    up = between(F.when(~steep, n["w"]).when(same, n["n"]).otherwise(n["s"]), F.when(same, n["nw"]).otherwise(n["sw"]))
+    lead_, first, second = major * c, down, up
     beats = F.when(~same & steep, (lead_ >= first) & (lead_ > second)).when(~same, (lead_ > first) & (lead_ >= second)).otherwise((lead_ > first) & (lead_ > second))
     inner = ~F.exists("ring", lambda x: x.isNull())
     return r.withColumn("kept", F.when(inner & beats, c).otherwise(0.0)).drop("ring")
@@ -252,7 +248,7 @@ def erode(cells: DataFrame, width: int, height: int) -> DataFrame:
     return hits.where(F.col("here") & (F.col("n") >= need)).select("frame", "x", "y")
 
 
-def skeleton(cells: DataFrame, width: int, height: int, stage, rounds: int = 64) -> DataFrame:
+def skeleton(cells: DataFrame, width: int, height: int, stage, rounds: int = 10_000) -> DataFrame:
     """Morphological skeleton: collect what opening removes, erode, until nothing is left."""
     now, found = stage(cells.select("frame", "x", "y").distinct(), "skeleton"), None
     for _ in range(rounds):
@@ -260,9 +256,9 @@ def skeleton(cells: DataFrame, width: int, height: int, stage, rounds: int = 64)
         gone = now.join(dilate(eroded, width, height), ["frame", "x", "y"], "left_anti")
         found = gone if found is None else found.union(gone)
         if eroded.isEmpty():
-            break
+            return found.distinct()
         now = eroded
-    return found.distinct()
+    raise RuntimeError(f"the cells aren't eroded after {rounds} rounds")
 
 
 def trace_shell(cells: DataFrame) -> DataFrame:

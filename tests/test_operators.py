@@ -354,6 +354,44 @@ def test_thinning_and_tracks():
     assert sorted(track) == [(x, 2) for x in range(1, 8)] and track in (sorted(track), sorted(track)[::-1])
 
 
+def test_thinning_rule_for_all_neighbourhoods():
+    """The published conditions cell by cell: P2 to P9 run from the north with the clock."""
+    names = {(0, -1): 2, (1, -1): 3, (1, 0): 4, (1, 1): 5, (0, 1): 6, (-1, 1): 7, (-1, 0): 8, (-1, -1): 9}
+    for code in range(256):
+        p = {names[step]: bool(code >> k & 1) for k, step in enumerate(kernels._AROUND)}
+        c = sum(not p[a] and (p[b] or p[d]) for a, b, d in ((2, 3, 4), (4, 5, 6), (6, 7, 8), (8, 9, 2)))
+        n = min(sum(p[a] or p[b] for a, b in ((9, 2), (3, 4), (5, 6), (7, 8))), sum(p[a] or p[b] for a, b in ((2, 3), (4, 5), (6, 7), (8, 9))))
+        sides = ((p[2] or p[3] or not p[5]) and p[4], (p[6] or p[7] or not p[9]) and p[8])
+        assert kernels._DELETABLE[:, code].tolist() == [c == 1 and 2 <= n <= 3 and not s for s in sides]
+
+
+def test_thinning_leaves_thin_lines_and_the_border():
+    line = np.zeros((6, 9))
+    line[3] = line[0] = 7
+    assert (kernels.thin(line) == line).all() and kernels.thin(np.ones((2, 2))).sum() == 4
+
+
+def test_crossing_tracks_share_no_cell():
+    mag = np.zeros((9, 9))
+    mag[4, :] = 5
+    mag[:, 4] = 4
+    mag[4, 4], mag[1, 4] = 9, 8
+    dx = np.zeros_like(mag)
+    dx[:, 4] = 1
+    dx[4] = 0
+    tracks = kernels.edge_tracks(mag, dx, 1 - dx, 5, 3)
+    assert sorted(tracks[0]) == [(x, 4) for x in range(9)] and sorted(tracks[1]) == [(4, y) for y in range(4)] and len(sum(tracks, [])) == len(set(sum(tracks, [])))
+    assert kernels.edge_tracks(mag, dx, 1 - dx, 5, 3, 6) == tracks[:1]
+
+
+def test_bounded_loops_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "src bigint, dst bigint")
+    for run in (lambda: graph.levels(chain, spark.range(1), max_level=3), lambda: graph.topological_levels(chain, max_rounds=3), lambda: graph.strong_components(chain, max_rounds=1)):
+        with pytest.raises(RuntimeError):
+            run()
+    assert graph.levels(chain, spark.range(1)).count() == 7
+
+
 def test_follow_contour():
     ring = [(x, y) for x in range(4) for y in range(4) if x in (0, 3) or y in (0, 3)]
     path, error = kernels.follow_contour(ring)
