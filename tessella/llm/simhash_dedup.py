@@ -48,6 +48,7 @@ NEAR_BITS = 20
 MIN_COSINE = 0.8
 CROWDED = 64
 HUBS = 8
+FIRST_HUBS = 2
 
 
 def _signed(x: int) -> int:
@@ -222,7 +223,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least doc reachable over links, null for texts without links.
 
     Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Texts of a key with
-    over ``crowded`` of them are compared with ``HUBS`` of these, drawn anew for each key, in place of all pairs. Null and
+    over ``crowded`` of them are compared with ``HUBS`` of these, drawn anew for each key, in place of all pairs (first with ``FIRST_HUBS``, then with
+    the others where that hasn't connected them). Null and
     wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
     other; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -245,10 +247,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return found.select(F.least("a.doc", "b.doc").alias("src"), F.greatest("a.doc", "b.doc").alias("dst"))
 
     hubs = many.groupBy("key").agg(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
-    hubs = stage(hubs.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h")).select("key", "h.doc", "h.fp"), "hubs")
-    first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs, "a.doc <> b.doc"))
+    hubs = stage(hubs.select("key", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("nth", "h")).select("key", "h.doc", "h.fp", "nth"), "hubs")
+    first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs.where(F.col("nth") < FIRST_HUBS), "a.doc <> b.doc"))
     links = _verified(first, docs, texts, width, similarity)
-    found = connected_components(links)
+    found = stage(connected_components(links), "linked")
+    # the other hubs: pairs that are connected already need no look
+    label = lambda rows: rows.join(found, rows["doc"] == found["node"], "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("part"))
+    rest = stage(label(hubs.where(F.col("nth") >= FIRST_HUBS)), "hubs")
+    more = _verified(pairs(label(many), rest, "a.part <> b.part"), docs, texts, width, similarity)
+    found = connected_components(links.union(more))
     of_text = docs.join(found, F.col("doc") == F.col("node"), "left").select("digest", "doc", "component")
     return rows.select("rid", "id", "digest").join(of_text, "digest").select("rid", "id", "doc", "component")
 
