@@ -265,10 +265,10 @@ def random_indices(spark, sf):
     return K.sample_ids(dots(spark, sf), "id", 50, "7")
 
 
-@query(CAND + f""", w AS (SELECT a.p, a.q, b.p AS p2, b.q AS q2, exp(-((a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy)) / 1.125) AS dd, b.prob * 0.25 AS e FROM cand a JOIN cand b ON a.frame = b.frame AND a.p <> b.p AND abs(a.p - b.p) < 200 AND (a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy) <= 1.125)
+@query(CAND + f""", w AS (SELECT a.p, a.q, b.p AS p2, b.q AS q2, exp(-((a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy)) / 1.125) AS dd, b.prob * 0.25 AS e FROM cand a JOIN cand b ON a.frame = b.frame AND a.p <> b.p AND (a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy) <= 1.125)
 SELECT p, q, p2, q2, {fixed('e * dd / (e * dd + (1 - e) * 0.5)')} AS w FROM w""")
 def link_weights(spark, sf):
-    """Links of the candidates of all pairs of a frame's points whose velocities are within the distance. The SQL keeps pairs of nearby ids only."""
+    """Links of the candidates of all pairs of a frame's points whose velocities are within the distance."""
     c = stage(candidates(spark, sf), "candidates")
     pts = c.select("frame", F.col("vx").alias("x"), F.col("vy").alias("y"), "p", "q", "prob")
     pairs = J.range_join(pts, pts, 1.125**0.5, condition=F.col("a.p") != F.col("b.p"))
