@@ -72,8 +72,8 @@ def moving_edge_tracks(spark, sf):
     return J.moving_share(pixels(spark, sf).where("v >= 1").select("frame", "x", "y", F.col("y").alias("track")), 0.5)
 
 
-@query(D + f""", f AS (SELECT a.id AS p, b.id AS q, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS nth FROM dots a JOIN dots b ON b.t = a.t AND a.id <> b.id AND {D2} <= 100)
-SELECT a.p, a.q FROM f a JOIN f b ON a.p = b.q AND a.q = b.p AND a.p < a.q WHERE a.nth = 1 AND b.nth = 1""")
+@query(D + f""", f AS MATERIALIZED (SELECT a.id AS p, arg_min(b.id, ({D2}, b.id)) AS q FROM dots a JOIN dots b ON b.t = a.t AND a.id <> b.id AND {D2} <= 100 GROUP BY ALL)
+SELECT a.p, a.q FROM f a JOIN f b ON a.p = b.q AND a.q = b.p AND a.p < a.q""")
 def mutual_matches(spark, sf):
     d = framed(spark, sf)
     pairs = J.range_join(d, d, 10.0, condition=F.col("a.id") != F.col("b.id"))
