@@ -224,7 +224,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Texts of a key with
     over ``crowded`` of them are compared with ``HUBS`` of these, drawn anew for each key, in place of all pairs (first with ``FIRST_HUBS``, then with
-    the others where that hasn't connected them). Null and
+    the others where that hasn't connected them). Hubs are drawn by the texts' digests, so that the same texts always give the same groups, whatever
+    their order and partitions. Null and
     wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
     other; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -238,6 +239,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = stage(docs.select("doc", "fp", F.explode("keys").alias("key")), "keyed")
     full = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     few, many = keyed.join(full, "key", "left_anti"), keyed.join(full, "key")
+    # hubs are drawn by what a text says, as its number depends on how the rows were dealt
+    drawn = many.join(docs.select("doc", F.xxhash64("digest").alias("draw")), "doc")
     docs, texts = docs.select("digest", "rid", "doc", "margins"), df.select(row_id(df).alias("rid"), text.alias("text"))
 
     def pairs(a: DataFrame, b: DataFrame, which: str) -> DataFrame:
@@ -246,7 +249,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(which) & near)
         return found.select(F.least("a.doc", "b.doc").alias("src"), F.greatest("a.doc", "b.doc").alias("dst"))
 
-    hubs = many.groupBy("key").agg(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("doc", "key", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
+    hubs = drawn.groupBy("key").agg(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", "key", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
     hubs = stage(hubs.select("key", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("nth", "h")).select("key", "h.doc", "h.fp", "nth"), "hubs")
     first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs.where(F.col("nth") < FIRST_HUBS), "a.doc <> b.doc"))
     links = _verified(first, docs, texts, width, similarity)

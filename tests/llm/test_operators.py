@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, secrets, simhash_dedup, simhash_kernel, tiff, url_rules, warc
+from tessella.plans.storage import anchored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "a word " * 60_000 + "end"
@@ -133,6 +134,19 @@ def test_drop_near_copies(spark, crowded, monkeypatch):
     assert simhash_dedup.drop_near_copies(docs(spark, [])).count() == 0
 
 
+def test_similar_groups_of_crowded_keys_do_not_depend_on_the_partitions(spark):
+    """Copies of 200 words, about three of them replaced: some are similar and some are not, so that it matters which are drawn as hubs."""
+    rng = np.random.default_rng(12)
+    text = " ".join(f"w{rng.integers(10**6)}" for _ in range(200))
+    rows = [(n, changed(rng, text, 0.015)) for n in range(150)]
+    found = []
+    for order in range(2):
+        df = docs(spark, [rows[i] for i in rng.permutation(len(rows))]).repartition(2 + 3 * order)
+        got = simhash_dedup.similar_groups(anchored(df), crowded=4).where("component IS NOT NULL")
+        found.append(sorted(tuple(sorted(r.ids)) for r in got.groupBy("component").agg(F.collect_list("id").alias("ids")).collect()))
+    assert found[0] and found[1] == found[0]
+
+
 def test_distance_tables_discard_no_pair_within_the_radius(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(a) ^ sum(1 << int(b) for b in rng.choice(63, n % 12, replace=False))) for n, a in enumerate(rng.integers(-(2**63), 2**63, 400))]
