@@ -114,7 +114,7 @@ def reference_fingerprints(count: int, seed: int) -> np.ndarray:
 
 def margins(ones: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     """How clear each bit's majority is, as a vector of length 1 per text."""
-    found = (2 * ones - shingles[:, None]).astype(np.float32)
+    found = (2 * ones - shingles[:, None]).astype(np.float64)
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
 
 
@@ -122,9 +122,11 @@ def nearest_references(clear: np.ndarray, references: np.ndarray, nearest: int)
     """Numbers of the ``nearest`` references of each text, ascending.
 
     The distance is Hamming distance in which a bit weighs as much as its majority is clear, so that bits that a few
-    changed words could turn hardly count.
+    changed words could turn hardly count. Weights are rounded to whole numbers: their sums stay under 2**24, exact in any
+    order, so that a text's references don't depend on the texts that share its batch.
     """
-    found = np.argpartition(-(clear @ references), nearest - 1, axis=1)[:, :nearest]
+    whole = np.rint(clear * (1 << 14)).astype(np.float32)
+    found = np.argpartition(-(whole @ references), nearest - 1, axis=1)[:, :nearest]
     return np.sort(found, axis=1)
 
 
