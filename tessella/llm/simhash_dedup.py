@@ -9,6 +9,9 @@
 2. Pairs of a key are discarded if their fingerprints differ in over ``NEAR_BITS`` bits, then if the cosine of their bits'
    margins (the distances to the 64 unit references, a byte each) is under ``MIN_COSINE``.
 3. The survivors are verified by the exact similarity of their shingles.
+4. Keys with over ``CROWDED`` texts aren't paired up. Their texts are compared with a few drawn ones, which joins large groups of
+   similar texts in linear work; what that leaves apart is joined exactly by shingles (``unlike_parts``), so that no link within such
+   a key is lost.
 
 ``near_groups`` links fingerprints within ``radius`` bits, all of them. Plain distances to scattered references gather
 around 32 (sigma 4), so one reference's test ``|d(x,p) - d(y,p)| <= 4`` passes over half of all pairs: a complete join
@@ -46,9 +49,12 @@ TABLES = 4
 NEAREST = 4
 NEAR_BITS = 20
 MIN_COSINE = 0.8
-CROWDED = 64
-HUBS = 8
-FIRST_HUBS = 2
+CROWDED = 32
+HUBS = 2
+HUB_ROUNDS = 2
+SPEAKERS = 4
+EARLIER = 32
+MARKS = 8
 
 
 def _signed(x: int) -> int:
@@ -200,21 +206,65 @@ def shingles_udf(width: int):
     return shingles
 
 
+def marks_udf(longs: int = MARKS):
+    """Parities of a set's hashes by their last bits: two sets differ in at least as many members as their parities in bits."""
+    bits = 64 * longs
+
+    @F.arrow_udf("array<bigint>")
+    def marks(sets: pa.Array) -> pa.Array:
+        sizes = np.diff(sets.offsets.to_numpy())
+        place = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64).astype(np.int64) & (bits - 1)
+        odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * bits + place, minlength=len(sizes) * bits).astype(np.uint8) & 1
+        packed = np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * longs), pa.array(packed))
+
+    return marks
+
+
 def references_for(rows: int) -> int:
     """A power of two that grows with the square root of the rows, so that the number of texts that share a key by chance doesn't."""
     return 1 << max(6, ceil(log2(4 * max(rows, 1)) / 2))
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst`` of the pairs with at least this shingle similarity; ``sets``: doc, own (distinct shingle hashes)."""
+    joined = pairs.join(sets.select(F.col("doc").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("doc").alias("dst"), F.col("own").alias("b")), "dst")
+    joined = joined.select("src", "dst", (F.size("a") + F.size("b")).alias("all"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return stage(joined.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("src", "dst"), "links")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``src, dst`` of the pairs whose exact shingle similarity is ``similarity`` at least; ``docs``: doc, rid, margins; ``texts``: rid, text."""
+    """``src, dst`` of the pairs that pass the cosine and the exact similarity; ``docs``: doc, rid, margins; ``texts``: rid, text."""
     pairs = stage(pairs.distinct(), "candidates")
     pairs = pairs.join(docs.select(F.col("doc").alias("src"), F.col("margins").alias("m")), "src").join(docs.select(F.col("doc").alias("dst"), F.col("margins").alias("n")), "dst")
     pairs = stage(pairs.select("src", "dst", cosine_udf()("m", "n").alias("cosine")).where(F.col("cosine") >= MIN_COSINE).select("src", "dst"), "candidates")
     needed = docs.join(pairs.select(F.col("src").alias("doc")).union(pairs.select("dst")).distinct(), "doc").select("doc", "rid")
     sets = stage(texts.join(stage(needed, "needed"), "rid").select("doc", shingles_udf(width)("text").alias("own")), "shingles")
-    joined = pairs.join(sets.select(F.col("doc").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("doc").alias("dst"), F.col("own").alias("b")), "dst")
-    joined = joined.select("src", "dst", (F.size("a") + F.size("b")).alias("all"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return stage(joined.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("src", "dst"), "links")
+    return _similar(pairs, sets, similarity)
+
+
+def unlike_parts(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates ``src, dst`` from different parts, with every pair of that similarity among them; ``sets``: doc, part, own.
+
+    A prefix join. Only shingles that two parts have can join them. Of a text of n shingles a similar one has 0.8 n, so that a text with
+    fewer of those joins nothing, and two similar texts meet in one of their first 0.2 n + 1 shingles, in any order that is the same
+    for all texts: here those that no other part has come first, then the rarest. Behind the first shingle in which two texts meet
+    each must have enough left to come to the similarity.
+    """
+    each = sets.select("doc", "part", F.size("own").alias("n"), F.explode("own").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("rows"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("s", "rows")
+    own = each.join(stage(shared, "shared"), "s").groupBy("doc", "part", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "s"))).alias("shared"))
+    need = F.ceil(similarity * F.col("n") - 1e-6)
+    own = own.where(F.size("shared") >= need).select("doc", "part", "n", F.size("shared").alias("left"), F.slice("shared", F.lit(1), F.greatest(F.size("shared") - need + 1, F.lit(0)).cast("int")).alias("prefix"))
+    own = own.select("doc", "part", "n", "left", "prefix", F.posexplode(F.col("prefix")["s"]).alias("at", "s"))
+    earlier = F.slice(F.col("prefix")["s"], F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least("at", F.lit(EARLIER))).alias("earlier")
+    own = own.select("doc", "part", "n", (F.col("left") - F.col("at")).alias("left"), "s", earlier)
+    own = stage(own.join(sets.select("doc", marks_udf()("own").alias("marks")), "doc"), "prefixes")
+    both = similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.marks")[i].bitwiseXOR(F.col("b.marks")[i])) for i in range(MARKS)])
+    enough = (F.least("a.left", "b.left") >= both) & (differ <= F.col("a.n") + F.col("b.n") - 2 * both)
+    found = own.alias("a").join(own.alias("b"), (F.col("a.s") == F.col("b.s")) & F.expr("a.doc < b.doc AND a.part <> b.part") & enough & ~F.arrays_overlap("a.earlier", "b.earlier"))
+    return found.select(F.col("a.doc").alias("src"), F.col("b.doc").alias("dst")).distinct()
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, tables: int = TABLES,
@@ -222,10 +272,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of an ``anchored`` table: ``rid, id, doc, component``; doc is one per distinct text, component the
     least doc reachable over links, null for texts without links.
 
-    Links are verified exactly; which pairs are looked at is a matter of chance (README has the recall). Texts of a key with
-    over ``crowded`` of them are compared with ``HUBS`` of these, drawn anew for each key, in place of all pairs (first with ``FIRST_HUBS``, then with
-    the others where that hasn't connected them). Hubs are drawn by the texts' digests, so that the same texts always give the same groups, whatever
-    their order and partitions. Null and
+    Links are verified exactly; which texts share a key is a matter of chance (README has the recall). Within a key with
+    over ``crowded`` texts all similar ones end in one group: ``HUB_ROUNDS`` times the texts without a link are compared with ``HUBS``
+    drawn ones of one of their keys, then the parts that makes are compared by ``SPEAKERS`` texts each, then ``unlike_parts`` finds what is left. Groups are the same whatever the rows' order,
+    their partitions and the hubs. Null and
     wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
     other; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -237,11 +287,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = rows.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid")
     docs = stage(rows.join(firsts, "rid").select("digest", "rid", F.monotonically_increasing_id().alias("doc"), "fp", "margins", "keys"), "distinct-texts")
     keyed = stage(docs.select("doc", "fp", F.explode("keys").alias("key")), "keyed")
-    full = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
+    full = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded), "crowded-keys")
     few, many = keyed.join(full, "key", "left_anti"), keyed.join(full, "key")
-    # hubs are drawn by what a text says, as its number depends on how the rows were dealt
-    drawn = many.join(docs.select("doc", F.xxhash64("digest").alias("draw")), "doc")
-    docs, texts = docs.select("digest", "rid", "doc", "margins"), df.select(row_id(df).alias("rid"), text.alias("text"))
+    # one row per text with crowded keys, those with most texts first
+    many = many.groupBy("doc", "fp").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False)["key"].alias("full"))
+    many = stage(many.join(docs.select("doc", F.xxhash64("digest").alias("draw")), "doc"), "crowded")
+    texts = df.select(row_id(df).alias("rid"), text.alias("text"))
 
     def pairs(a: DataFrame, b: DataFrame, which: str) -> DataFrame:
         """Pairs of rows (key, doc, fp) of ``a`` and ``b`` within ``near_bits``, the smaller doc first."""
@@ -249,16 +300,35 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(which) & near)
         return found.select(F.least("a.doc", "b.doc").alias("src"), F.greatest("a.doc", "b.doc").alias("dst"))
 
-    hubs = drawn.groupBy("key").agg(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", "key", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
-    hubs = stage(hubs.select("key", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("nth", "h")).select("key", "h.doc", "h.fp", "nth"), "hubs")
-    first = pairs(few, few, "a.doc < b.doc").union(pairs(many, hubs.where(F.col("nth") < FIRST_HUBS), "a.doc <> b.doc"))
-    links = _verified(first, docs, texts, width, similarity)
+    links = _verified(pairs(few, few, "a.doc < b.doc"), docs, texts, width, similarity)
     found = stage(connected_components(links), "linked")
-    # the other hubs: pairs that are connected already need no look
-    label = lambda rows: rows.join(found, rows["doc"] == found["node"], "left").select("key", "doc", "fp", F.coalesce("component", "doc").alias("part"))
-    rest = stage(label(hubs.where(F.col("nth") >= FIRST_HUBS)), "hubs")
-    more = _verified(pairs(label(many), rest, "a.part <> b.part"), docs, texts, width, similarity)
-    found = connected_components(links.union(more))
+    for nth in range(HUB_ROUNDS):
+        alone = many.join(found, many["doc"] == found["node"], "left_anti").select("doc", "fp", "draw", F.get("full", F.lit(nth)).alias("key")).where("key IS NOT NULL")
+        hubs = alone.groupBy("key").agg(F.array(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", F.lit(i))) for i in range(HUBS)]).alias("hubs"))
+        hubs = hubs.select("key", F.explode(F.array_distinct("hubs")).alias("h")).select("key", "h.doc", "h.fp")
+        links = links.union(_verified(pairs(alone, hubs, "a.doc <> b.doc"), docs, texts, width, similarity))
+        found = stage(connected_components(links), "linked")
+
+    # parts of a key meet its largest one: a few drawn texts of each
+    spoken = [F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", F.lit(i))) for i in range(SPEAKERS)]
+    inside = many.join(found, many["doc"] == found["node"]).select("doc", "fp", "draw", "component", F.explode("full").alias("key"))
+    inside = stage(inside.groupBy("key", "component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*spoken)).alias("speakers")), "parts")
+    largest = inside.groupBy("key").agg(F.max_by(F.struct("component", "speakers"), F.struct("n", "component")).alias("l")).select("key", "l.*")
+    others = inside.join(largest.select("key", "component"), ["key", "component"], "left_anti")
+    speakers = [x.select("key", F.explode("speakers").alias("h")).select("key", "h.doc", "h.fp") for x in (others, largest)]
+    links = links.union(_verified(pairs(*speakers, "a.doc <> b.doc"), docs, texts, width, similarity))
+    found = stage(connected_components(links), "linked")
+
+    # keys whose texts aren't all connected; pairs of other keys are left out, so that the groups don't depend on which keys these are
+    parts = many.join(found, many["doc"] == found["node"], "left").select("doc", "full", F.coalesce("component", "doc").alias("part"))
+    in_keys = parts.select("doc", "part", F.explode("full").alias("key"))
+    open_keys = in_keys.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    opened = stage(in_keys.join(open_keys, "key", "left_semi").select("doc", "part").distinct().join(docs.select("doc", "rid"), "doc"), "open")
+    sets = stage(texts.join(opened, "rid").select("doc", "part", shingles_udf(width)("text").alias("own")), "shingles")
+    left = stage(unlike_parts(sets, similarity), "candidates")
+    left = left.join(many.select(F.col("doc").alias("src"), F.col("full").alias("a")), "src").join(many.select(F.col("doc").alias("dst"), F.col("full").alias("b")), "dst")
+    links = links.union(_similar(left.where(F.arrays_overlap("a", "b")).select("src", "dst"), sets, similarity))
+    found = connected_components(links)
     of_text = docs.join(found, F.col("doc") == F.col("node"), "left").select("digest", "doc", "component")
     return rows.select("rid", "id", "digest").join(of_text, "digest").select("rid", "id", "doc", "component")
 

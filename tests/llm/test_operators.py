@@ -147,6 +147,34 @@ def test_similar_groups_of_crowded_keys_do_not_depend_on_the_partitions(spark):
     assert found[0] and found[1] == found[0]
 
 
+def test_unlike_parts_has_every_similar_pair(spark):
+    """Sets around a few centres, of 1 to 900 members, in parts of one or many: against all pairs by brute force."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 2, 5, 9, 40, 41, 150, 900):
+        centre = rng.integers(-(2**63), 2**63, size)
+        for _ in range(30):
+            own = np.where(rng.random(size) < rng.choice([0, 0.03, 0.06, 0.12, 0.2]), rng.integers(-(2**63), 2**63, size), centre)
+            sets.append(set(own[rng.random(size) > 0.02].tolist()) or {1})
+    part = [int(p) for p in rng.integers(0, 100, len(sets))]
+    df = spark.createDataFrame(list(zip(range(len(sets)), part, map(sorted, sets), strict=True)), "doc bigint, part bigint, own array<bigint>")
+    got = {(r.src, r.dst) for r in simhash_dedup.unlike_parts(df, 0.8).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    alike = {(i, j): like(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if part[i] != part[j]}
+    assert {p for p, s in alike.items() if s >= 0.8} <= got and len([p for p, s in alike.items() if s >= 0.8]) > 300
+    assert len([p for p in got if alike[p] < 0.6]) < 100
+    assert simhash_dedup.unlike_parts(df.limit(0), 0.8).count() == 0
+
+
+def test_similar_texts_of_crowded_keys_lose_no_link(spark):
+    """Two loose groups and texts like neither: with all keys crowded the groups are those of all pairs of keys."""
+    rng = np.random.default_rng(13)
+    bases = [" ".join(f"w{rng.integers(10**6)}" for _ in range(120)) for _ in range(2)]
+    rows = [(n, changed(rng, bases[n % 2], 0.005 + 0.015 * (n % 5))) for n in range(160)]
+    want, got = ({tuple(sorted(r.ids)) for r in simhash_dedup.similar_groups(anchored(docs(spark, rows)), crowded=c).where("component IS NOT NULL").groupBy("component").agg(F.collect_list("id").alias("ids")).collect()} for c in (10**6, 1))
+    assert got == want and max(map(len, got)) > 20 and sum(map(len, got)) < 150
+
+
 def test_distance_tables_discard_no_pair_within_the_radius(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(a) ^ sum(1 << int(b) for b in rng.choice(63, n % 12, replace=False))) for n, a in enumerate(rng.integers(-(2**63), 2**63, 400))]
