@@ -51,8 +51,7 @@ NEAR_BITS = 20
 MIN_COSINE = 0.8
 CROWDED = 32
 HUBS = 2
-HUB_ROUNDS = 2
-SPEAKERS = 4
+HUB_KEYS = 3
 EARLIER = 32
 MARKS = 8
 
@@ -273,8 +272,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least doc reachable over links, null for texts without links.
 
     Links are verified exactly; which texts share a key is a matter of chance (README has the recall). Within a key with
-    over ``crowded`` texts all similar ones end in one group: ``HUB_ROUNDS`` times the texts without a link are compared with ``HUBS``
-    drawn ones of one of their keys, then the parts that makes are compared by ``SPEAKERS`` texts each, then ``unlike_parts`` finds what is left. Groups are the same whatever the rows' order,
+    over ``crowded`` texts all similar ones end in one group: each is compared with ``HUBS``
+    drawn ones of its ``HUB_KEYS`` largest keys, then ``unlike_parts`` finds what that leaves apart. Groups are the same whatever the rows' order,
     their partitions and the hubs. Null and
     wordless texts link to none but their equals. Repeated rows share doc and component; null ids are rows like any
     other; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -300,23 +299,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr(which) & near)
         return found.select(F.least("a.doc", "b.doc").alias("src"), F.greatest("a.doc", "b.doc").alias("dst"))
 
-    links = _verified(pairs(few, few, "a.doc < b.doc"), docs, texts, width, similarity)
-    found = stage(connected_components(links), "linked")
-    for nth in range(HUB_ROUNDS):
-        alone = many.join(found, many["doc"] == found["node"], "left_anti").select("doc", "fp", "draw", F.get("full", F.lit(nth)).alias("key")).where("key IS NOT NULL")
-        hubs = alone.groupBy("key").agg(F.array(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", F.lit(i))) for i in range(HUBS)]).alias("hubs"))
-        hubs = hubs.select("key", F.explode(F.array_distinct("hubs")).alias("h")).select("key", "h.doc", "h.fp")
-        links = links.union(_verified(pairs(alone, hubs, "a.doc <> b.doc"), docs, texts, width, similarity))
-        found = stage(connected_components(links), "linked")
-
-    # parts of a key meet its largest one: a few drawn texts of each
-    spoken = [F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", F.lit(i))) for i in range(SPEAKERS)]
-    inside = many.join(found, many["doc"] == found["node"]).select("doc", "fp", "draw", "component", F.explode("full").alias("key"))
-    inside = stage(inside.groupBy("key", "component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*spoken)).alias("speakers")), "parts")
-    largest = inside.groupBy("key").agg(F.max_by(F.struct("component", "speakers"), F.struct("n", "component")).alias("l")).select("key", "l.*")
-    others = inside.join(largest.select("key", "component"), ["key", "component"], "left_anti")
-    speakers = [x.select("key", F.explode("speakers").alias("h")).select("key", "h.doc", "h.fp") for x in (others, largest)]
-    links = links.union(_verified(pairs(*speakers, "a.doc <> b.doc"), docs, texts, width, similarity))
+    in_largest = many.select("doc", "fp", "draw", F.explode(F.slice("full", 1, HUB_KEYS)).alias("key"))
+    hubs = in_largest.groupBy("key").agg(F.array(*[F.min_by(F.struct("doc", "fp"), F.xxhash64("draw", F.lit(i))) for i in range(HUBS)]).alias("hubs"))
+    hubs = hubs.select("key", F.explode(F.array_distinct("hubs")).alias("h")).select("key", "h.doc", "h.fp")
+    first = pairs(few, few, "a.doc < b.doc").union(pairs(in_largest, hubs, "a.doc <> b.doc"))
+    links = _verified(first, docs, texts, width, similarity)
     found = stage(connected_components(links), "linked")
 
     # keys whose texts aren't all connected; pairs of other keys are left out, so that the groups don't depend on which keys these are
