@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, secrets, simhash_dedup, tiff, url_rules, warc
+from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, secrets, simhash_dedup, tiff, url_rules, vector_codes, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_packing": packing.op9_packing,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
