@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, secrets, simhash_dedup, tiff, url_rules, vector_codes, warc
+from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, periodic_runs, secrets, simhash_dedup, tiff, url_rules, vector_codes, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,

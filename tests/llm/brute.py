@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -105,3 +106,30 @@ def url_verdict(url: str | None) -> tuple:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
+
+
+def runs(w: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all maximal stretches of 24 words or more with three periods or more, by trying all periods."""
+    out, number = [], np.unique(np.array(w, dtype=object).astype(bytes), return_inverse=True)[1] if w else np.empty(0, int)
+    for q in range(1, len(w) // 3 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], number[:-q] == number[q:], [0]])))
+        for i, j in edges.reshape(-1, 2).tolist():
+            if j + q - i >= max(24, 3 * q) and not any(w[i : j + q - r] == w[i + r : j + q] for r in range(1, q)):
+                out.append((i, j + q - i, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def planted_words(ident: int, text: str | None) -> list[bytes]:
+    w = words(text)
+    h = zlib.crc32(str(ident).encode())
+    if h % 10 == 0 and w:
+        n, g = len(w), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def collapsed(w: list[bytes], found: list[tuple[int, int, int]]) -> bytes:
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return b" ".join(x for i, x in enumerate(w) if i not in gone)
