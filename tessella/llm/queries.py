@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, periodic_runs, secrets, simhash_dedup, tiff, url_rules, vector_codes, warc
+from tessella.llm import exact_dedup, language_id, licenses, mixing, packing, periodic_runs, quality_rules, secrets, simhash_dedup, tiff, url_rules, vector_codes, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op13_quality_rules": quality_rules.OP13_SQL,
 }
