@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.queries import fixed, query
 from tessella.queries.stencil import fx
-from tessella.streaming import frames
+from tessella.streaming import forest, frames
 
 
 @query(f"SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, {fixed('sum(value)')} AS total FROM events GROUP BY ALL")
@@ -36,3 +36,30 @@ def stream_moving_cells(spark, sf):
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     cells = e.select(day.alias("frame"), F.floor("value").cast("int").alias("x"), (F.col("user_id") % 150).cast("int").alias("y"))
     return frames.run_once(frames.moving_cells(cells), "append")
+
+
+#: least largest rank on a path between two dots, by squaring; an edge is in the forest if no path is better
+_SQUARED = ", ".join(
+    f"b{k} AS (SELECT stream, frame, a.src, b.dst, min(greatest(a.r, b.r)) AS r FROM b{k - 1} a JOIN b{k - 1} b USING (stream, frame) WHERE a.dst = b.src GROUP BY ALL)" for k in range(1, 8)
+)
+
+
+@query("""WITH d AS (SELECT event_type AS stream, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS frame, event_id AS id, floor(value)::INT AS x, (user_id % 150)::INT AS y FROM events),
+n AS (SELECT a.stream, a.id, a.x - b.x AS dx, a.y - b.y AS dy, row_number() OVER (PARTITION BY a.id ORDER BY a.frame - b.frame, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS nth
+      FROM d a JOIN d b ON a.stream = b.stream AND b.frame BETWEEN a.frame - 5 AND a.frame - 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 361),
+p AS (SELECT d.*, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM d LEFT JOIN n ON n.id = d.id AND nth = 1),
+e AS (SELECT a.stream, greatest(a.frame, b.frame) AS newest, least(a.frame, b.frame) AS oldest, a.id AS src, b.id AS dst,
+             (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy) + (a.frame - b.frame) * (a.frame - b.frame) AS w
+      FROM p a JOIN p b ON a.stream = b.stream AND a.id < b.id AND abs(a.frame - b.frame) < 3 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25),
+f AS (SELECT DISTINCT stream, frame FROM d),
+g AS (SELECT e.stream, f.frame, src, dst, w, row_number() OVER (PARTITION BY e.stream, f.frame ORDER BY w, src, dst) AS r
+      FROM e JOIN f ON e.stream = f.stream AND newest <= f.frame AND oldest > f.frame - 3),
+b0 AS (SELECT stream, frame, src, dst, r FROM g UNION ALL SELECT stream, frame, dst, src, r FROM g
+       UNION ALL SELECT stream, frame, id, id, 0 FROM (SELECT DISTINCT stream, frame, unnest([src, dst]) AS id FROM g)), """ + _SQUARED + """
+SELECT stream, frame, src AS p, dst AS q, w::BIGINT AS w FROM g JOIN b7 USING (stream, frame, src, dst, r)""")
+def stream_spanning_forests(spark, sf):
+    """Events of a type are a stream, days are its frames."""
+    e = frames.event_stream(spark, sf)
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    dots = e.select(F.col("event_type").alias("stream"), day.alias("frame"), F.col("event_id").alias("id"), F.floor("value").cast("int").alias("x"), (F.col("user_id") % 150).cast("int").alias("y"))
+    return frames.run_once(forest.spanning_forests(dots), "append", forest.ROCKS)

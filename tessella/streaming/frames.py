@@ -24,8 +24,14 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000)
     return reader.parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result: the last whole table (complete), or all rows emitted (append)."""
+STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_once(df: DataFrame, mode: str, store: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return its result: the last whole table (complete), or all rows emitted (append).
+
+    ``store`` names the state store of this stream; the session's own is set again afterwards.
+    """
     spark = df.sparkSession
     out = new_path(spark, "stream")
 
@@ -33,8 +39,15 @@ def run_once(df: DataFrame, mode: str) -> DataFrame:
         # overwriting a batch's own folder makes a retry harmless
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
-    query = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE_KEY, None)
+    if store:
+        spark.conf.set(STORE_KEY, store)
+    try:
+        query = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if store:
+            spark.conf.unset(STORE_KEY) if before is None else spark.conf.set(STORE_KEY, before)
     table = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
     if mode == "complete":
         last = table.agg(F.max("batch").alias("batch"))
