@@ -12,6 +12,8 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.envelope import along
+
 
 # -- neighbourhoods ----------------------------------------------------------------------------------------------------
 def offsets(ndim: int, kind: str = "eight") -> list[tuple[int, ...]]:
@@ -161,39 +163,35 @@ def centricity(grid: DataFrame, v: str = "v") -> DataFrame:
 def distance_transform(grid: DataFrame, metric: str = "l2", seed: str = "v > 0", spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Adds ``d2`` (l2: squared) or ``d`` (l1, linf, octile) to the nearest seed of the frame; null if it has none.
 
-    Along x the nearest seed on either side is a running value; along y a column's array is combined once, so that
-    no cell meets more than one column of others.
+    Along x the nearest seed on either side is a running value, along y the lower envelope of a column's costs: work is in
+    proportion to the cells.
     """
+    rows = grid.withColumn("_a", F.abs(F.col("x") - _nearest_along_x(seed)).cast("double") * spacing[0])
+    found = along(rows, ["frame", "x"], "y", "_a", metric, spacing[1])
+    return found.select("frame", "x", "y", F.col("d").alias("d2" if metric == "l2" else "d"))
+
+
+def _nearest_along_x(seed: str) -> Column:
+    """x of the nearest seed of the row of cells, the left one of two; null without any."""
     wx = _axis("x")
     left = F.last(F.when(F.expr(seed), F.col("x")), ignorenulls=True).over(wx)
     right = F.first(F.when(F.expr(seed), F.col("x")), ignorenulls=True).over(wx.rowsBetween(0, Window.unboundedFollowing))
-    across = F.least(F.col("x") - left, right - F.col("x")).cast("double") * spacing[0]
-    rows = grid.withColumn("_a", across)
-    cols = rows.groupBy("frame", "x").agg(F.sort_array(F.collect_list(F.struct("y", "_a"))).alias("col"))
-    two = 2**0.5
-
-    def cost(y: Column):
-        def of(p: Column) -> Column:
-            dy, a = F.abs(p["y"] - y) * spacing[1], p["_a"]
-            return {"l2": a * a + dy * dy, "l1": a + dy, "linf": F.greatest(a, dy), "octile": F.greatest(a, dy) + (two - 1) * F.least(a, dy)}[metric]
+    return F.when(F.coalesce(F.col("x") - left <= right - F.col("x"), left.isNotNull()), left).otherwise(right)
 
-        return of
 
-    best = F.transform("col", lambda q: F.struct(q["y"].alias("y"), F.array_min(F.transform(F.filter("col", lambda p: p["_a"].isNotNull()), cost(q["y"]))).alias("d")))
-    out = cols.select("frame", "x", F.inline(best)).withColumnRenamed("d", "d2" if metric == "l2" else "d")
-    return out
+def nearest_seeds(grid: DataFrame, metric: str = "linf", seed: str = "v > 0") -> DataFrame:
+    """``frame, x, y, d, sx, sy``: the distance to a nearest seed and that seed, for each cell of a frame with seeds."""
+    rows = grid.withColumn("sx", _nearest_along_x(seed)).withColumn("_a", F.abs(F.col("x") - F.col("sx")).cast("double"))
+    found = along(rows, ["frame", "x"], "y", "_a", metric, keep=("y", "sx"))
+    return found.select("frame", "x", "y", "d", "sx", F.col("of_y").alias("sy")).where("d IS NOT NULL")
 
 
 def generalized_distance_transform(grid: DataFrame, v: str = "v") -> DataFrame:
-    """``frame, x, y, d``: least of 1/v - 1/max(v) + squared distance over the positive cells of the frame."""
+    """``frame, x, y, d``: least of 1/v - 1/max(v) + squared distance over the positive cells of the frame, one axis after the other."""
     top = F.max(v).over(Window.partitionBy("frame"))
-    cells = grid.withColumn("_c", F.when(F.col(v) > 0, 1 / F.col(v) - 1 / top))
-    def along(df: DataFrame, keep: str, axis: str) -> DataFrame:
-        packed = df.groupBy("frame", keep).agg(F.sort_array(F.collect_list(F.struct(axis, "_c"))).alias("col"))
-        known = F.filter("col", lambda p: p["_c"].isNotNull())
-        best = F.transform("col", lambda q: F.struct(q[axis].alias(axis), F.array_min(F.transform(known, lambda p: p["_c"] + (p[axis] - q[axis]) * (p[axis] - q[axis]))).alias("_c")))
-        return packed.select("frame", keep, F.inline(best))
-    return along(along(cells, "y", "x"), "x", "y").withColumnRenamed("_c", "d")
+    cells = grid.select("frame", "x", "y", F.when(F.col(v) > 0, 1 / F.col(v) - 1 / top).alias("_c"))
+    rows = along(cells, ["frame", "y"], "x", "_c", "added").withColumnRenamed("d", "_c")
+    return along(rows, ["frame", "x"], "y", "_c", "added").select("frame", "x", "y", "d")
 
 
 def frame_difference(grid: DataFrame, v: str = "v") -> DataFrame:
