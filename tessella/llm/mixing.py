@@ -34,10 +34,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text, null: 0. Only single bytes part words, so the edges decide what the split adds."""
-    text = F.coalesce(text, F.lit(""))
-    inner = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("bigint")
+    """Words of a text, null: 0; counted without an array of them."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def ticket(id_col: Column, seed: int = SEED) -> Column:
@@ -80,7 +78,7 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
              weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents: id, source, size, ticket; sources: source, source_size, target, whole, boundary, skipped, chosen).
 
-    A document is taken ``whole`` times, and once more if its ticket is in ``chosen``, or before ``boundary`` and not in
+    A document is taken ``whole`` times, and, if it has words, once more if its ticket is in ``chosen``, or before ``boundary`` and not in
     ``skipped``. Null text: size 0. Null source: a source of its own, last in order. A source of size 0 has target 0.
     Null ids share one ticket; documents of equal ticket (repeated ids) are taken together. Very long texts are counted
     whole. An empty table gives two empty ones; other columns are ignored, whatever their names.
@@ -145,23 +143,27 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return rows, stage(plan.select(F.col("s").alias("source"), "source_size", "target", "whole", "boundary", skipped.alias("skipped"), chosen.alias("chosen")), "plan")
 
 
-def repeats(ticket_col: Column, plan: str = "") -> Column:
-    """How often a document is taken; ``plan`` is the prefix of the plan's columns."""
+def repeats(ticket_col: Column, worded: Column, plan: str = "") -> Column:
+    """How often a document is taken; ``worded``: it has words, ``plan`` is the prefix of the plan's columns.
+
+    A document without words takes nothing of the extra share, so it is taken ``whole`` times.
+    """
     queued = (ticket_col < F.col(f"{plan}boundary")) & ~F.array_contains(f"{plan}skipped", ticket_col)
-    return F.col(f"{plan}whole") + F.when(queued | F.array_contains(f"{plan}chosen", ticket_col), 1).otherwise(0)
+    return F.col(f"{plan}whole") + F.when(worded & (queued | F.array_contains(f"{plan}chosen", ticket_col)), 1).otherwise(0)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it: 0 to ``MAX_EPOCHS`` times.
 
-    Null sources are a source of their own, null ids share one ticket, repeated rows are taken together, null and empty
-    texts have size 0 and go with their ticket; an empty table gives an empty result; names of other columns don't matter.
+    Null sources are a source of their own, null ids share one ticket, repeated rows are taken together, texts without words
+    have size 0 and get whole repetitions only (none in a source without words); an empty table gives an empty result; names of other columns don't matter.
     """
     _, plan = plan_mix(df, id_col, text_col, source_col, seed=seed)
     name = fresh(df, "_mix")
     plan = plan.select(F.struct("source", "whole", "boundary", "skipped", "chosen").alias(name))
     joined = df.join(plan, F.col(source_col).eqNullSafe(F.col(f"{name}.source")))
-    times = repeats(ticket(F.col(id_col), seed), f"{name}.")
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    times = repeats(ticket(F.col(id_col), seed), worded, f"{name}.")
     return joined.withColumn(name, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*df.columns)
 
 
@@ -169,7 +171,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes from it."""
     rows, plan = plan_mix(table(spark, sf_dir, "documents"))
     joined = rows.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
-    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * repeats(F.col("ticket"))).cast("bigint").alias("taken"))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * repeats(F.col("ticket"), F.col("size") > 0)).cast("bigint").alias("taken"))
 
 
 OP4_SQL = r"""
