@@ -34,9 +34,9 @@ ROW = 576  # samples in a row of a stored payload
 PAGE_ROWS = 256
 PAD = 255
 _BATCH = 4 << 20
-#: No coding here packs more bytes into one: LZW codes of 12 bits stand for strings of under 4096.
-_BEST_RATIO = 4096
-_FAULTS = (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error)
+#: Bytes that a stored byte can stand for: 128 in two for runs, 258 in two bits of deflate, strings of under 4096 in an LZW code of 12 bits.
+_RATIO = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 2731}
+_FAULTS = (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error, MemoryError)
 _TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
@@ -264,17 +264,25 @@ def _image(data: bytes, f: dict[int, list[int]], order: str) -> tuple[np.ndarray
     if len(widths) != 1 or not widths <= {1, 4, 8, 16} or planar not in (1, 2):
         raise ValueError("only equal samples of 1, 4, 8 or 16 bits are supported")
     (bits,) = widths
-    if not (width and height and samples) or width * height * samples * bits > 8 * _BEST_RATIO * len(data):
-        raise ValueError("an image without samples, or larger than its file can hold")
-    image = np.empty((height, width, samples), dtype=np.dtype(f"u{max(bits // 8, 1)}"))
+    if compression not in _RATIO:
+        raise ValueError(f"compression {compression} isn't supported")
+    if not (width and height and samples):
+        raise ValueError("an image without samples")
     tiled = TILE_OFFSETS in f
     wide, high = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, [height])[0], height))
-    if not (wide and high) or wide * high * samples * bits > 8 * _BEST_RATIO * len(data):
-        raise ValueError("strips or tiles without samples, or larger than their file can hold")
+    if not (wide and high):
+        raise ValueError("strips or tiles without samples")
     offsets, sizes = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
     across, down, planes = -(-width // wide), -(-height // high), samples if planar == 2 else 1
     if len(offsets) != len(sizes) or len(offsets) != across * down * planes:
         raise ValueError("strips or tiles are missing or too many")
+    # every sample comes from stored bytes, so this bounds what is allocated before anything is
+    for k, (start, n) in enumerate(zip(offsets, sizes, strict=True)):
+        rows = high if tiled else min(high, height - k % (across * down) // across * high)
+        stored = max(0, min(n, len(data) - start))
+        if rows * -(-wide * (samples // planes) * bits // 8) > _RATIO[compression] * stored:
+            raise ValueError("a strip or tile is larger than its bytes can hold")
+    image = np.empty((height, width, samples), dtype=np.dtype(f"u{max(bits // 8, 1)}"))
     for k, (start, n) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(k, across * down)
         y, x = k // across * high, k % across * wide
