@@ -12,6 +12,7 @@ length, joined, and then freed of their chunked framing.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -155,7 +156,7 @@ def plain(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while at < len(data):
+    while at < len(data) and (data[at] or data[at:].strip(b"\0")):  # zeros behind the last member are padding
         unpacker, parts = zlib.decompressobj(31), []
         while not unpacker.eof:
             piece = data[at : at + _PIECE]
@@ -209,9 +210,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for f, block in walk(content.as_py()):
                     # what is no HTTP message is a payload as it is; continuations go by the kind of their first segment
                     http = f.get("content-type", "").lower().startswith("application/http")
-                    rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), _number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length")), f.get("warc-type"),
-                                 f.get("x-page-id"), f.get("x-refers-to-page-id"), f.get("warc-payload-digest"), http, block, None))
-                    size += len(block)
+                    origin, segment, kind, digest = f.get("warc-segment-origin-id"), _number(f.get("warc-segment-number")), f.get("warc-type"), f.get("warc-payload-digest")
+                    error = None
+                    if kind == "continuation" and not (origin and segment and segment > 1):
+                        segment, block, error = None, None, "a continuation without its number or origin"
+                    elif segment is None:  # a whole record
+                        block, error = assemble([(None, None, block)], http, digest, kind != "revisit")
+                    rows.append((origin or f.get("warc-record-id"), segment, _number(f.get("warc-segment-total-length")), kind, f.get("x-page-id"), f.get("x-refers-to-page-id"), digest, http, block, error))
+                    size += len(block or b"")
                     if size >= _BATCH:
                         yield made(rows)
                         rows, size = [], 0
@@ -224,7 +230,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assemble(segments: list[tuple], http: bool = True, digest: str | None = None, payload_is_whole: bool = True) -> tuple[bytes | None, str | None]:
     """(payload, error) of one record's segments (number, total, block), in any order; repeated segments count once.
 
-    A ``digest`` of kind sha256 is compared with the payload, unless the record has none of it (a revisit).
+    A ``digest`` of kind sha256 (hexadecimal) or sha1 (base 32) is compared with the payload, unless the record has none of it (a revisit).
     """
     by_number = {n or 1: (total, block) for n, total, block in segments}
     if sorted(by_number) != list(range(1, len(by_number) + 1)):
@@ -240,7 +246,10 @@ def assemble(segments: list[tuple], http: bool = True, digest: str | None = None
         payload = http_payload(block) if http else block
     except ValueError as e:
         return None, str(e)
-    if digest and digest.startswith("sha256:") and payload_is_whole and hashlib.sha256(payload).hexdigest() != digest[7:]:
+    kind, _, value = (digest or "").partition(":")
+    if payload_is_whole and (
+        (kind == "sha256" and hashlib.sha256(payload).hexdigest() != value) or (kind == "sha1" and base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode() != value)
+    ):
         return None, "the payload differs from its digest"
     return payload, None
 
@@ -252,18 +261,14 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held, of, out, size = [], None, [], 0
 
     def close() -> None:
-        head = min(held, key=lambda r: r["segment"] or 1)
-        if head["error"]:
-            out.append((None, None, None, None, None, None, head["error"]))
-            return
+        head = min(held, key=lambda r: r["segment"])
         payload, error = assemble([(r["segment"], r["total"], r["block"]) for r in held], head["http"], head["digest"], head["type"] != "revisit")
-        kind = "response" if head["type"] == "continuation" else head["type"]
-        out.append((of, kind, head["page_id"], head["refers_to"], (head["digest"] or "").removeprefix("sha256:") or None, payload, error))
+        out.append((of, head["type"], head["page_id"], head["refers_to"], head["digest"], payload, error))
 
     for batch in batches:
         for i in range(len(batch)):
             row = {c: batch[c][i].as_py() for c in batch.schema.names}
-            if held and (row["origin"] != of or of is None or not row["segment"]):
+            if held and row["origin"] != of:
                 close()
                 size += len(out[-1][5] or b"")
                 held = []
@@ -287,12 +292,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     the ``error``. A revisit's payload is empty; refers_to is the page id it names. Records other than HTTP messages
     have their block as payload. Empty archives give no rows.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_read, _RAW)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # read once: whole records are decoded on the way, only segments are shuffled
+    raw = stage(archives.mapInArrow(_read, _RAW), "records")
     out = "origin string, type string, page_id string, refers_to string, digest string, payload binary, error string"
-    # two scans of the archives: whole records are decoded in place, only segments are shuffled
-    whole = raw.where("segment IS NULL").mapInArrow(_join_segments, out)
+    whole = raw.where("segment IS NULL").select("origin", "type", "page_id", "refers_to", "digest", F.col("block").alias("payload"), "error")
     parts = raw.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment")
-    return whole.unionByName(parts.mapInArrow(_join_segments, out))
+    return whole.unionByName(parts.mapInArrow(_join_segments, out)).withColumn("digest", F.regexp_replace("digest", "^sha256:", ""))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
