@@ -275,7 +275,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_
         raise ValueError(f"local is {1 << _BIN_BITS} at most")
     kind = pieces.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, grp bigint, idx bigint"
-    leaves = stage(pieces.select(*(n for n, _ in _COLUMNS)).mapInArrow(_leaf(capacity, nearly_full, local), schema), "packed")
+    # dealt by a hash, so that each task packs a mixture of all lengths, however the table is sorted
+    dealt = pieces.select(*(n for n, _ in _COLUMNS)).repartition(F.xxhash64("id", "piece", "start", "ids_crc32"))
+    leaves = stage(dealt.mapInArrow(_leaf(capacity, nearly_full, local), schema), "packed")
     own = ["id", "piece", "start", "length", "ids_crc32"]
     out = leaves.where("idx < 0").select(*own, F.col("bin").alias("sequence_id"), "offset")
     under = leaves.where("idx >= 0").select(*own, "grp", F.col("idx").alias("q"))
