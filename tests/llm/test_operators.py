@@ -263,7 +263,7 @@ def plain_mix(rows):
         if left > 0 and over and abs(items[min(over)[1]] - left) < left:
             took.add(min(over)[1])
         for i in own:
-            times[i] = whole + (ticket[i] in took)
+            times[i] = whole + (ticket[i] in took and size[i] > 0)
     return times
 
 
@@ -311,6 +311,14 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_texts_without_words_stay_within_the_epochs(spark):
+    """A source at its cap: three whole repetitions, and nothing of the extra share for texts without words."""
+    rows = [(i, "w " * 10, "capped") for i in range(5)] + [(100 + i, None if i % 2 else " \n", "capped") for i in range(8)] + [(1000 + i, "w " * 50, "other") for i in range(40)]
+    got = Counter(r.doc_id for r in mixing.mix(docs(spark, [(i, t, None, s) for i, t, s in rows])).collect())
+    assert got == Counter({r[0]: n for r, n in zip(rows, plain_mix(rows), strict=True) if n}) and max(got.values()) == 3
+    assert {got[100 + i] for i in range(8)} == {3}
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a b ", "a\x0bb\x0cc\r\nd", "\xa0 x\u2003y", "a\x1cb c", LONG]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t")).alias("n"))
@@ -505,6 +513,17 @@ def test_packing_levels(spark, nearly_full):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_order_of_the_table(spark):
+    rng = np.random.default_rng(11)
+    sizes = np.concatenate([rng.integers(100, 400, 20_000), rng.integers(1100, 1700, 12_000)]).tolist()
+    made = []
+    for lengths in (sorted(sizes), rng.permutation(sizes).tolist()):
+        rows = [(i, 0, 0, int(n), i) for i, n in enumerate(lengths)]
+        df = spark.createDataFrame(rows, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartitionByRange(16, "id")
+        made.append(packing.pack(df).select("sequence_id").distinct().count())
+    assert abs(made[0] - made[1]) <= 0.005 * made[1]
+
+
 def test_packing_pairs_large_with_small_of_other_tasks(spark):
     large = spark.range(0, 3000, 1, 2).select("id", (1025 + F.col("id") % 75).alias("length"))
     small = spark.range(3000, 6000, 1, 2).select("id", (900 + F.col("id") % 40).alias("length"))
@@ -573,6 +592,31 @@ def test_foreign_and_broken_archives(spark, tmp_path):
     assert errors == sorted(["the payload differs from its digest", "the last record is cut off", "a gzip member is cut off", "no record where one should start", "chunk size isn't a hexadecimal number"])
 
 
+def test_orphan_continuations_are_errors(spark, tmp_path):
+    part = lambda more: record(b"fragment", more).replace(b"WARC-Type: response", b"WARC-Type: continuation")
+    origin = "WARC-Segment-Origin-ID: <gone>\r\n"
+    good = record(b"HTTP/1.1 200 OK\r\n\r\nfine", "Content-Type: application/http\r\n")
+    parts = [part(origin), part(origin + "WARC-Segment-Number: 1\r\n"), part(origin + "WARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 8\r\n"), part("WARC-Segment-Number: 2\r\n")]
+    (tmp_path / "a.warc").write_bytes(good + b"".join(parts))
+    (tmp_path / "padded.warc.gz").write_bytes(gzip.compress(good) + b"\0" * 700)
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert [bytes(r.payload) for r in got if not r.error] == [b"fine", b"fine"]
+    assert Counter(r.error for r in got if r.error) == Counter({"a continuation without its number or origin": 3, "segments missing": 1})
+    assert all(r.payload is None for r in got if r.error)
+
+
+def test_sha1_digests(spark, tmp_path):
+    import base64
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    right = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    http = "Content-Type: application/http\r\nWARC-Payload-Digest: sha1:"
+    (tmp_path / "a.warc").write_bytes(record(body, f"{http}{right}\r\n") + record(body, f"{http}{right[::-1]}\r\n"))
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.payload and bytes(r.payload), r.error) for r in got if not r.error) == [(b"body", None)]
+    assert [r.error for r in got if r.error] == ["the payload differs from its digest"]
+
+
 @given(st.binary(max_size=200), st.integers(0, 400), st.lists(st.tuples(st.integers(0, 400), st.integers(0, 255)), max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_damaged_archives_end(noise, cut, flips):
@@ -695,6 +739,15 @@ def test_big_endian_16_bit_tiff():
     assert np.frombuffer(page.data, np.uint16).tolist() == [1, 2, 3, 65535, 1, 1]
 
 
+def test_false_header_of_a_large_file():
+    """A page of 80 GiB in a file of 40 MB is a fault of the file, for every coding."""
+    for coding in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        made = tiny_tiff(STRIPS | {256: [1 << 18], 257: [1 << 18], 278: [1 << 18], 258: [8], 259: [coding], 273: [8], 279: [30]}, [b"\xff" * 30]) + b"\0" * 40_000_000
+        media = pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["media"])
+        (row,) = [r for b in tiff.read_pages(iter([media])) for r in b.to_pylist()]
+        assert row["error"] and row["data"] is None
+
+
 def test_tiff_pages(spark):
     good = tiff.encode_tiff(b"q" * 576 * 257)
     rows = [(1, good), (2, None), (3, b"junk"), (4, good[:-40]), (None, good), (1, good)]
