@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import graph as G
+from tessella.operators import hierarchy as H
 from tessella.operators import joins as J
 from tessella.operators import stencil as S
 from tessella.operators.components import connected_components
@@ -243,3 +244,43 @@ def coverage_set_ops(spark, sf):
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
+
+
+#: cells with three events or more grow; a component is named by its least cell
+_SEEDS = CELL_REACH.replace("v >= 1", "v >= 3")
+_GROWN = _SEEDS + f""", m AS (SELECT frame, x, y, component FROM c JOIN comp USING (id)),
+r AS (SELECT p.frame, p.x, p.y, min(greatest(abs(p.x - m.x), abs(p.y - m.y))) + 1 AS gen, arg_min(component, (greatest(abs(p.x - m.x), abs(p.y - m.y)), component)) AS source FROM pixels p JOIN m USING (frame) GROUP BY ALL),
+t AS (SELECT a.frame, a.source AS u, b.source AS v, min(greatest(a.gen, b.gen)) AS r FROM r a JOIN r b ON a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL),
+b0 AS (SELECT frame, u, v, CASE WHEN u = v THEN 0 ELSE r END AS r FROM t),
+{", ".join(f"b{k} AS (SELECT a.frame, a.u, b.v, min(greatest(a.r, b.r)) AS r FROM b{k - 1} a JOIN b{k - 1} b ON a.frame = b.frame AND a.v = b.u GROUP BY ALL)" for k in range(1, 8))},
+k AS (SELECT frame, s.step::INT AS step, u AS id, min(v) AS name FROM b7 JOIN range(1, {GRID} + 1) s(step) ON r <= s.step GROUP BY ALL),
+w AS (SELECT DISTINCT n.frame, n.step, n.name AS merged, o.name AS part FROM k n JOIN k o ON n.id = o.id AND o.step = n.step - 1),
+j AS (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY frame, step, merged) > 1)"""
+
+
+def growth_forest(spark, sf):
+    """(cells with step and source, forest of merges, lineages) of growth from the cells with three events or more."""
+    grid = stage(pixels(spark, sf), "pixels")
+    seeds = stage(grid.where("v >= 3").select("frame", "x", "y", ((F.col("frame") * GRID + F.col("y")) * GRID + F.col("x")).cast("bigint").alias("id")), "seeds")
+    comp = connected_components(cell_edges(seeds)).withColumnRenamed("node", "id")
+    members = seeds.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    regions = stage(H.grown(grid, members, "v >= 3"), "regions")
+    forest = stage(H.merge_forest(H.touches(regions)), "merge-forest")
+    return regions, forest, H.lineages(forest, regions.select(F.col("source").alias("id")).distinct())
+
+
+@query(_GROWN + """, d AS (SELECT k.frame, step, name, count(*) AS n FROM k JOIN m ON m.component = k.id GROUP BY ALL)
+SELECT j.step, merged, part, o.n AS n_part, n.n AS n_merged FROM j JOIN d o ON o.name = part AND o.step = j.step - 1 JOIN d n ON n.name = merged AND n.step = j.step""")
+def growth_merges(spark, sf):
+    regions, forest, lines = growth_forest(spark, sf)
+    return H.merges(forest, lines, regions.where("gen = 1").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n")))
+
+
+@query(_GROWN + f""", d AS (SELECT k.frame, step, name, count(*) AS size, count(*) FILTER (gen = step) AS boundary FROM k JOIN r ON r.source = k.id AND gen <= step GROUP BY ALL),
+f AS (SELECT *, sqrt(2 * pi() * size) / boundary AS measure FROM d WHERE boundary > 0)
+SELECT part AS name, o.step, o.size, o.boundary, {fixed('o.measure')} AS measure FROM j JOIN f o ON o.name = part AND o.step = j.step - 1 JOIN f n ON n.name = merged AND n.step = j.step
+WHERE o.measure > 0.3 AND o.measure > n.measure""")
+def saved_growth_regions(spark, sf):
+    regions, forest, lines = growth_forest(spark, sf)
+    rings = regions.groupBy(F.col("source").alias("id"), "gen").agg(F.count("*").alias("n"))
+    return H.saved_regions(forest, lines, rings, 0.3).withColumn("measure", fx("measure", "measure"))
