@@ -39,6 +39,32 @@ def links(dots: DataFrame, dist_thres: float) -> DataFrame:
     return stage(forward.union(back).distinct(), "links")
 
 
+def split_merged(dots: DataFrame, dist_thres: float) -> DataFrame:
+    """``id, x, y, frame, branch, asc, part`` for ``dots`` with branches: branches that several branches of the frame before went into are
+    divided among these.
+
+    A branch before matches one whose dots are within ``dist_thres`` of all its own. Of a branch with several matches each dot goes with the match
+    that has the nearest dot, however far (ties: the least id); the dots of a match are a part, named by its least dot. Other branches are one part, ``asc``
+    is their only match or null. Every dot is in one part.
+    """
+    before = dots.withColumn("frame", F.col("frame") + 1)
+    found = J.directed_match(before, dots, dist_thres).select(F.col("a").alias("asc"), F.col("b").alias("branch"))
+    counted = found.groupBy("branch").agg(F.count("*").alias("matches"), F.min("asc").alias("only"))
+    matched = stage(found.join(counted, "branch"), "matches")
+    several = matched.where("matches > 1").select("branch", "asc")
+    # nearest dots within each merged branch: its name is the key of the join, so that other branches of the frame don't take part
+    own = dots.join(several.select("branch").distinct(), "branch", "left_semi").select("id", "x", "y", F.col("branch").alias("frame"))
+    theirs = several.join(dots.select(F.col("branch").alias("asc"), "id", "x", "y"), "asc").select("id", "x", "y", F.col("branch").alias("frame"), "asc")
+    own, theirs = stage(own, "merged-dots"), stage(theirs, "merged-dots")
+    near = J.nearest_any(own, theirs, dist_thres, stage).select("p", "q")
+    chosen = near.join(theirs.select(F.col("id").alias("q"), "asc").distinct(), "q").select(F.col("p").alias("id"), "asc")
+    one = matched.where("matches = 1").select("branch", "only")
+    out = dots.join(chosen, "id", "left").join(one, "branch", "left").withColumn("asc", F.coalesce("asc", "only")).drop("only")
+    out = stage(out, "divided")
+    parts = out.groupBy(F.col("branch").alias("b"), F.col("asc").alias("a")).agg(F.min("id").alias("part"))
+    return out.join(parts, (F.col("branch") == F.col("b")) & F.col("asc").eqNullSafe(F.col("a"))).select("id", "x", "y", "frame", "branch", "asc", "part")
+
+
 def velocities(dots: DataFrame, linked: DataFrame, dist_thres: float) -> DataFrame:
     """``frame, branch, rooted, vx, vy``: centre minus the mean of the distinct ascendant dots nearest to its own dots (nearer than
     ``dist_thres``); zero without any."""

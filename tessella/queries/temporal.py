@@ -49,6 +49,14 @@ def branch_links(spark, sf):
     return T.links(T.branches(framed(spark, sf), 3.0), 3.0)
 
 
+@query(BRANCHES + f""", mt AS (SELECT a AS asc_, b AS branch FROM m GROUP BY ALL HAVING max(d2) <= 9), ct AS (SELECT branch, count(*) AS n, min(asc_) AS sole FROM mt GROUP BY branch),
+nd AS (SELECT b.id, arg_min(a.branch, ({D2}, a.id)) AS asc_ FROM ct JOIN mt ON mt.branch = ct.branch JOIN p b ON b.branch = ct.branch JOIN p a ON a.branch = mt.asc_ WHERE ct.n > 1 GROUP BY b.id),
+al AS (SELECT p.id, p.frame, p.branch, coalesce(nd.asc_, CASE WHEN ct.n = 1 THEN sole END) AS asc_ FROM p LEFT JOIN nd ON nd.id = p.id LEFT JOIN ct ON ct.branch = p.branch)
+SELECT id, frame, branch, asc_ AS "asc", min(id) OVER (PARTITION BY branch, asc_) AS part FROM al""")
+def split_branches(spark, sf):
+    return T.split_merged(T.branches(framed(spark, sf), 3.0), 3.0).select("id", "frame", "branch", "asc", "part")
+
+
 @query(BRANCHES + f""", pr AS (SELECT a.branch AS a, b.branch AS b FROM v a JOIN v b ON a.frame = b.frame AND a.branch < b.branch AND a.n >= 3 AND b.n >= 3),
 an(id, gen, anc) AS (SELECT branch, 0, branch FROM v UNION SELECT an.id, an.gen + 1, link.asc_ FROM an JOIN link ON an.anc = link.branch WHERE an.gen < 4),
 ce AS (SELECT an.id, an.gen, sum(p.x) / count(*)::DOUBLE AS cx, sum(p.y) / count(*)::DOUBLE AS cy FROM an JOIN p ON p.branch = an.anc GROUP BY ALL),
