@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Distances to references that are held at a time (12 bytes each), whatever the number of texts and references.
+DISTANCES = 1 << 21
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +110,9 @@ def shingle_sets(texts: pa.Array, width: int = 5, seed: int = 42) -> list[np.nda
     return [np.unique(part) for part in np.split(hashes, np.cumsum(shingles)[:-1])] if len(shingles) else []
 
 
+@lru_cache(maxsize=4)
 def reference_fingerprints(count: int, seed: int) -> np.ndarray:
-    """``count`` scattered 64-bit fingerprints as a 64 x count matrix of -1 and 1."""
+    """Drawn once a worker. ``count`` scattered 64-bit fingerprints as a 64 x count matrix of -1 and 1."""
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (64, count)).astype(np.float32) * 2 - 1
 
 
@@ -125,8 +129,13 @@ def nearest_references(clear: np.ndarray, references: np.ndarray, nearest: int)
     changed words could turn hardly count. Weights are rounded to whole numbers: their sums stay under 2**24, exact in any
     order, so that a text's references don't depend on the texts that share its batch.
     """
-    whole = np.rint(clear * (1 << 14)).astype(np.float32)
-    found = np.argpartition(-(whole @ references), nearest - 1, axis=1)[:, :nearest]
+    whole = np.rint(clear * -(1 << 14)).astype(np.float32)
+    count = references.shape[1]
+    step = max(1, DISTANCES // count)
+    found = np.empty((len(whole), nearest), np.int64)
+    for lo in range(0, len(whole), step):
+        far = whole[lo : lo + step] @ references
+        found[lo : lo + step] = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
     return np.sort(found, axis=1)
 
 

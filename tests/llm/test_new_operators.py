@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.test_operators import EDGE, LONG, clash, docs
 
-from tessella.llm import periodic_runs, quality_rules, queries, vector_codes
+from tessella.llm import periodic_runs, quality_rules, queries, simhash_kernel, vector_codes
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -95,6 +95,30 @@ def test_op11_with_hot_and_null_labels(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((i, c.hex(), e, total[label[i]], digest) for i, c, e in want)
 
 
+# -- 10: the signature step at any number of references ------------------------------------------------------------------
+def test_nearest_references_in_bounded_steps():
+    rng = np.random.default_rng(2)
+    clear = simhash_kernel.margins(rng.integers(0, 20, (3000, 64)), np.full(3000, 20))
+    references = simhash_kernel.reference_fingerprints(256, 1)
+    got = simhash_kernel.nearest_references(clear, references, 4)
+    far = np.rint(clear * (1 << 14)) @ references.astype(np.float64)
+    assert (np.sort(np.take_along_axis(far, got, axis=1), axis=1) == np.sort(far, axis=1)[:, -4:]).all()
+
+
+def test_memory_of_signatures_does_not_grow_with_the_references():
+    """10,000 short texts against 2 ** 17 references: all distances at once were over 5 GB."""
+    import tracemalloc
+
+    clear = simhash_kernel.margins(np.random.default_rng(3).integers(0, 20, (40, 64)), np.full(40, 20))
+    references = simhash_kernel.reference_fingerprints(1 << 17, 0)
+    tracemalloc.start()
+    simhash_kernel.nearest_references(np.tile(clear, (10, 1)), references, 4)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    simhash_kernel.reference_fingerprints.cache_clear()
+    assert peak < 100 << 20
+
+
 # -- 12 --------------------------------------------------------------------------------------------------------------
 def plain_found(text):
     w = brute.words(text)
