@@ -31,12 +31,21 @@ def summaries(dots: DataFrame) -> DataFrame:
     return g.join(rep.select("frame", "branch", F.col("r.id").alias("rep")), ["frame", "branch"])
 
 
-def links(dots: DataFrame, dist_thres: float) -> DataFrame:
+def frame_pairs(dots: DataFrame, dist_thres: float) -> DataFrame:
+    """``asc, branch, p, q, d2, px, py``: dots p of a frame and q of the next one that are nearer than ``dist_thres``, with their branches. Written once: links
+    and velocities are aggregates of it."""
+    before = dots.withColumn("frame", F.col("frame") + 1)
+    found = J.range_join(before, dots, dist_thres, condition=J.d2("a", "b") < float(dist_thres * dist_thres))
+    return stage(found.select(F.col("a.branch").alias("asc"), F.col("b.branch").alias("branch"), F.col("a.id").alias("p"), F.col("b.id").alias("q"), J.d2("a", "b").alias("d2"), F.col("a.x").alias("px"), F.col("a.y").alias("py")), "frame-pairs")
+
+
+def links(dots: DataFrame, dist_thres: float, pairs: DataFrame | None = None) -> DataFrame:
     """``asc, branch``: branches of following frames where all dots of one have a dot of the other nearer than ``dist_thres``."""
-    after = dots.withColumn("frame", F.col("frame") - 1)
-    forward = J.directed_match(dots, after, dist_thres).where(F.col("max_d") < dist_thres).select(F.col("a").alias("asc"), F.col("b").alias("branch"))
-    back = J.directed_match(after, dots, dist_thres).where(F.col("max_d") < dist_thres).select(F.col("b").alias("asc"), F.col("a").alias("branch"))
-    return stage(forward.union(back).distinct(), "links")
+    pairs = frame_pairs(dots, dist_thres) if pairs is None else pairs
+    met = pairs.groupBy("asc", "branch").agg(F.count_distinct("p").alias("ps"), F.count_distinct("q").alias("qs"))
+    size = dots.groupBy("branch").agg(F.count("*").alias("n"))
+    met = met.join(size.select(F.col("branch").alias("asc"), F.col("n").alias("n_asc")), "asc").join(size, "branch")
+    return stage(met.where("ps = n_asc OR qs = n").select("asc", "branch"), "links")
 
 
 def split_merged(dots: DataFrame, dist_thres: float) -> DataFrame:
@@ -65,14 +74,13 @@ def split_merged(dots: DataFrame, dist_thres: float) -> DataFrame:
     return out.join(parts, (F.col("branch") == F.col("b")) & F.col("asc").eqNullSafe(F.col("a"))).select("id", "x", "y", "frame", "branch", "asc", "part")
 
 
-def velocities(dots: DataFrame, linked: DataFrame, dist_thres: float) -> DataFrame:
+def velocities(dots: DataFrame, linked: DataFrame, dist_thres: float, pairs: DataFrame | None = None) -> DataFrame:
     """``frame, branch, rooted, vx, vy``: centre minus the mean of the distinct ascendant dots nearest to its own dots (nearer than
     ``dist_thres``); zero without any."""
-    before = dots.withColumn("frame", F.col("frame") + 1)
-    pairs = J.range_join(dots, before, dist_thres, condition=J.d2("a", "b") < float(dist_thres * dist_thres))
-    pairs = pairs.select(F.col("a.branch").alias("branch"), F.col("a.id").alias("p"), F.col("b.branch").alias("asc"), F.struct(J.d2("a", "b").alias("d2"), F.col("b.id").alias("q"), F.col("b.x").alias("qx"), F.col("b.y").alias("qy")).alias("m"))
-    near = pairs.join(linked, ["branch", "asc"]).groupBy("branch", "p").agg(F.min("m").alias("m"))
-    source = near.select("branch", "m.q", "m.qx", "m.qy").distinct().groupBy("branch").agg(F.avg("qx").alias("qx"), F.avg("qy").alias("qy"))
+    pairs = frame_pairs(dots, dist_thres) if pairs is None else pairs
+    pairs = pairs.select("branch", "asc", "q", F.struct("d2", "p", "px", "py").alias("m"))
+    near = pairs.join(linked, ["branch", "asc"]).groupBy("branch", "q").agg(F.min("m").alias("m"))
+    source = near.select("branch", "m.p", "m.px", "m.py").distinct().groupBy("branch").agg(F.avg("px").alias("qx"), F.avg("py").alias("qy"))
     centre = dots.groupBy("frame", "branch").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     rooted = linked.select("branch").distinct().withColumn("rooted", F.lit(True))
     out = centre.join(source, "branch", "left").join(rooted, "branch", "left")
@@ -107,8 +115,9 @@ def group_labels(dots: DataFrame, dist_thres: float = 3.0, merge_thres: float =
     """``id, x, y, frame, branch, label, n_descendants``: dots labelled 1, 2, ... per frame by which branches move together,
     in the order of the groups' least branches; frames before ``min_history`` have label 0."""
     d = branches(dots, dist_thres)
-    linked = links(d, dist_thres)
-    v = stage(velocities(d, linked, dist_thres), "motion")
+    pairs = frame_pairs(d, dist_thres)
+    linked = links(d, dist_thres, pairs)
+    v = stage(velocities(d, linked, dist_thres, pairs), "motion")
     comp = connected_components(velocity_links(v, merge_thres)).withColumnRenamed("node", "branch")
     named = v.select("frame", "branch").join(comp, "branch", "left").withColumn("component", F.coalesce("component", "branch"))
     labels = dense_labels(named, "frame").select("branch", "label")
@@ -120,8 +129,9 @@ def group_labels(dots: DataFrame, dist_thres: float = 3.0, merge_thres: float =
 def branch_table(dots: DataFrame, dist_thres: float = 3.0) -> DataFrame:
     """``frame, branch, cx, cy, vx, vy, n, n_desc, n_asc, laxis, saxis, theta, rep``."""
     d = branches(dots, dist_thres)
-    linked = links(d, dist_thres)
-    v = velocities(d, linked, dist_thres)
+    pairs = frame_pairs(d, dist_thres)
+    linked = links(d, dist_thres, pairs)
+    v = velocities(d, linked, dist_thres, pairs)
     asc = linked.groupBy("branch").agg(F.count("*").alias("n_asc"))
     desc = linked.groupBy(F.col("asc").alias("branch")).agg(F.count("*").alias("n_desc"))
     out = summaries(d).join(v, ["frame", "branch"]).join(asc, "branch", "left").join(desc, "branch", "left").fillna(0, ["n_asc", "n_desc"])
