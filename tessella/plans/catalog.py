@@ -7,7 +7,7 @@ import importlib
 from tessella.queries import ORACLE, QUERIES
 
 FLAGSHIP = "flagship_group_labels"
-MODULES = ("stencil", "spatial", "sequences", "graphs", "temporal", "kernels", "streams", "more", "extra")
+MODULES = ("stencil", "spatial", "sequences", "graphs", "temporal", "kernels", "streams", "more", "extra", "video")
 
 
 def _load() -> None:
