@@ -123,7 +123,7 @@ def linear_index(dims: Sequence[int], *sub: Column) -> Column:
     """Subscripts to a linear index, first axis fastest."""
     total, stride = F.lit(0).cast("bigint"), 1
     for n, s in zip(dims, sub, strict=True):
-        total, stride = total + s * stride, stride * n
+        total, stride = total + s.cast("bigint") * stride, stride * n
     return total
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +42,46 @@ def covariance_inverse(df: DataFrame) -> DataFrame:
     return df.withColumns({"det": det, "ixx": F.col("syy") / safe, "ixy": -F.col("sxy") / safe, "iyy": F.col("sxx") / safe})
 
 
-def covariance_matrix(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
-    """``key, i, j, cov`` (i <= j): population covariance of the first ``dims`` entries of an array column, in one aggregate."""
-    at = lambda i: F.get(vec, F.lit(i))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    agg = df.groupBy(key).agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs]))
-    return agg.select(key, rows.alias("r")).select(key, "r.i", "r.j", "r.cov")
+def _scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's vectors as (key, dims, n, sums, products of columns i <= j); ``SCATTERS`` keys are held at a time."""
+    held: dict = {}
+
+    def made() -> pa.RecordBatch:
+        rows = [{"key": k, "dims": d, "n": n, "sums": s.tolist(), "products": m[np.triu_indices(d)].tolist()} for (k, d), (n, s, m) in held.items()]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("key", key), ("dims", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))]))
+
+    for batch in batches:
+        key = batch["key"].type
+        keys, sizes = np.array(batch["key"].to_pylist(), dtype=object), batch["vec"].value_lengths().to_numpy(zero_copy_only=False)
+        flat, cuts = batch["vec"].flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes)).astype(np.int64)
+        for k, d in {*zip(keys.tolist(), sizes.tolist(), strict=True)}:
+            at = np.flatnonzero((sizes == d) & (np.array([x == k for x in keys], bool)))
+            x = flat[cuts[at][:, None] + np.arange(int(d))].astype(float)
+            n, s, m = held.get((k, int(d)), (0, 0.0, 0.0))
+            held[k, int(d)] = (n + len(x), s + x.sum(axis=0), m + x.T @ x)
+        if len(held) > SCATTERS:
+            yield made()
+            held.clear()
+    if held:
+        yield made()
+
+
+SCATTERS = 256
+
+
+def covariance_matrix(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """``key, i, j, cov`` for i <= j: covariances of all dimensions of the vectors of a key, from scatter matrices that each task makes of its own
+    vectors. Null vectors and vectors with null components are left out; vectors of another length are a group of their own by ``dims``."""
+    rows = df.where(F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull())).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    kind = rows.schema["key"].dataType.simpleString()
+    parts = rows.mapInArrow(_scatter, f"key {kind}, dims int, n bigint, sums array<double>, products array<double>")
+    total = parts.groupBy("key", "dims").agg(F.sum("n").alias("n"))
+    sums = parts.select("key", "dims", F.posexplode("sums").alias("i", "s")).groupBy("key", "dims", "i").agg(F.sum("s").alias("s"))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("dims") - 1), lambda i: F.transform(F.sequence(i, F.col("dims") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    products = parts.select("key", "dims", F.explode(F.arrays_zip(places.alias("p"), F.col("products").alias("v"))).alias("e")).groupBy("key", "dims", "e.p.i", "e.p.j").agg(F.sum("e.v").alias("v"))
+    a, b = sums.select("key", "dims", "i", F.col("s").alias("si")), sums.select("key", "dims", F.col("i").alias("j"), F.col("s").alias("sj"))
+    joined = products.join(a, ["key", "dims", "i"]).join(b, ["key", "dims", "j"]).join(total, ["key", "dims"])
+    return joined.select(F.col("key").alias(key), "i", "j", (F.col("v") / F.col("n") - F.col("si") / F.col("n") * (F.col("sj") / F.col("n"))).alias("cov"))
 
 
 def percentile_threshold(df: DataFrame, keys: list[str], v: str, percent: float, bins: int = 256) -> DataFrame:

@@ -209,11 +209,14 @@ def block_motion(diff: DataFrame, block: int = 4, threshold: int = 0, min_count:
 
 
 def smooth_over_time(grid: DataFrame, v: str = "v") -> DataFrame:
-    """Adds ``ema``: whole-number running mean ema/2 + v/2, each half cut to a whole number; starts at the first value."""
-    by = Window.partitionBy("x", "y").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(v).over(by)
-    step = lambda a, b: F.floor(a / 2).cast("int") + F.floor(b / 2).cast("int")
-    return grid.withColumn("ema", F.aggregate(F.slice(past, 2, F.greatest(F.size(past) - 1, F.lit(0))), F.get(past, F.lit(0)), step))
+    """``frame, x, y, v, ema``: whole-number running mean ema/2 + v/2, each half cut to a whole number; starts at the first value. One fold over
+    each cell's values in order."""
+    cells = grid.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(v).alias("v")))).alias("past"))
+    half = lambda a: F.floor(a / 2).cast("int")
+    first = F.array(F.get("past", F.lit(0))["v"])
+    means = F.aggregate(F.slice("past", F.lit(2), F.size("past")), first, lambda s, p: F.array_append(s, half(F.element_at(s, -1)) + half(p["v"])))
+    rows = F.zip_with("past", means, lambda p, m: F.struct(p["frame"].alias("frame"), p["v"].alias(v), m.alias("ema")))
+    return cells.select("x", "y", F.inline(rows)).select("frame", "x", "y", v, "ema")
 
 
 def resample(grid: DataFrame, width: int, height: int, new_width: int, new_height: int, v: str = "v") -> DataFrame:

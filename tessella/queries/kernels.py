@@ -15,7 +15,6 @@ from tessella.operators import temporal as T
 from tessella.plans.storage import stage
 from tessella.queries import fixed, query
 from tessella.queries.graphs import nation_edges
-from tessella.queries.sequences import POLYGON
 from tessella.queries.spatial import framed
 from tessella.queries.stencil import fx
 from tessella.queries.temporal import BRANCHES
@@ -199,10 +198,19 @@ def offset_polygons(spark, sf):
     return U.offset_rings(h.withColumnRenamed("grp", "k"), "k", 6.0)
 
 
-@query(f"SELECT 0::BIGINT AS k, {len(POLYGON) - 2}::BIGINT AS triangles, {abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))) / 2}::DOUBLE AS area")
+@query(f"""WITH {SQL['contours']}, c AS (SELECT contour_id AS k, x, max(y) AS y FROM contours GROUP BY ALL),
+s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY k ORDER BY x))
+SELECT k, count(*) AS triangles, {fixed('20 * sum((x - px) * ((y + py) / 2 + 1))')} AS area FROM s GROUP BY k HAVING count(*) > 1""")
 def triangulated_polygon(spark, sf):
-    p = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(POLYGON)], "k bigint, seq int, x double, y double")
-    return U.triangulated_polygons(p, "k")
+    """The area under each customer's orders over time, closed by a base line at -1 and cut into triangles."""
+    c = contours(spark, sf).groupBy(F.col("contour_id").alias("k"), "x").agg(F.max("y").alias("y"))
+    ends = c.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
+    base = ends.select("k", F.explode(F.array(F.struct(F.lit(-2).alias("seq"), F.col("lo").alias("x")), F.struct(F.lit(-1).alias("seq"), F.col("hi").alias("x")))).alias("p"))
+    base = base.select("k", "p.seq", "p.x", F.lit(-1.0).alias("y"))
+    top = c.join(ends, "k").select("k", (-F.col("x")).cast("int").alias("seq"), "x", "y")
+    # the base from left to right, then the orders back from right to left
+    top = top.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("seq")))
+    return U.triangulated_polygons(base.unionByName(top), "k").withColumn("area", fx("20 * area", "area"))
 
 
 @query()

@@ -262,8 +262,23 @@ def interval_overlaps(spark, sf):
     return j.groupBy("a.y").agg(F.count("*").alias("crossings"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (1, 0, -1), (2, 1, -1), (3, -1, 0), (4, 1, 0), (5, -1, 1), (6, 0, 1)) v(k, dx, dy)) SELECT k::INT AS k, dx::INT AS dx, dy::INT AS dy FROM (VALUES (0, -1, -1), (1, 0, -1), (2, 1, -1), (3, -1, 0), (4, 1, 0), (5, -1, 1), (6, 0, 1), (7, 1, 1)) v(k, dx, dy)""")
-def offset_table(spark, sf):
-    return S.offset_table(spark, 2, "eight")
+_KINDS = {
+    "four": "abs(dx) + abs(dy) = 1", "eight": "(dx, dy) <> (0, 0)", "nine": "true", "causal": "dy < 0 OR (dy = 0 AND dx < 0)",
+    "anticausal": "dy > 0 OR (dy = 0 AND dx > 0)", "causal_four": "abs(dx) + abs(dy) = 1 AND (dy < 0 OR (dy = 0 AND dx < 0))",
+}
 
 
+@query(P + """, c AS (SELECT frame, x, y FROM pixels WHERE v >= 1), o AS (SELECT a.dx, b.dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy)),
+m AS (SELECT dx, dy, count(*) AS n FROM c a CROSS JOIN o JOIN c b ON b.frame = a.frame AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL),
+k AS (""" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, dx, dy FROM o WHERE {cond}" for kind, cond in _KINDS.items()) + """)
+SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY dy, dx) - 1)::INT AS k, dx::INT AS dx, dy::INT AS dy, coalesce(n, 0) AS n FROM k LEFT JOIN m USING (dx, dy)""")
+def offset_table(spark, sf):
+    """Each neighbourhood's offsets in order, and how many cells have a neighbour there."""
+    c = stage(pixels(spark, sf).where("v >= 1").select("frame", "x", "y"), "cells")
+    out = None
+    for kind in _KINDS:
+        steps = S.offset_table(spark, 2, kind).select(F.lit(kind).alias("kind"), "k", "dx", "dy")
+        hits = S.moved(c, S.offsets(2, kind)).join(c, ["frame", "x", "y"]).groupBy("k").agg(F.count("*").alias("n"))
+        rows = steps.join(hits, "k", "left").select("kind", "k", "dx", "dy", F.coalesce("n", F.lit(0)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

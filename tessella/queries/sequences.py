@@ -162,18 +162,18 @@ def self_intersections(spark, sf):
     return j.select("contour_id", "i", "j", fx("s", "s"), fx("t", "t"))
 
 
-@query(f"WITH {SQL['dots']}" + " SELECT id, (x + 491 * y + 491 * 150 * t)::BIGINT AS idx, x AS sx, y AS sy, t AS st FROM dots WHERE x < 491")
+@query(f"WITH {SQL['dots']}" + " SELECT id, x + 1048576 * y + 1048576 * 150 * t::BIGINT AS idx, x AS sx, y AS sy, t AS st FROM dots")
 def linear_subscripts(spark, sf):
-    d = dots(spark, sf).where("x < 491")
-    dims = (491, 150, 30)
+    d = dots(spark, sf)
+    dims = (1 << 20, 150, 1 << 15)
     idx = G.linear_index(dims, F.col("x"), F.col("y"), F.col("t"))
     return d.select("id", idx.alias("idx")).select("id", "idx", *[c.alias(n) for c, n in zip(G.subscripts(dims, F.col("idx")), ("sx", "sy", "st"), strict=True)])
 
 
-@query(NEXT + f""", p AS (SELECT *, (nx - px) AS ux, (ny - py) AS uy FROM n WHERE nx IS NOT NULL AND px IS NOT NULL AND seq < 10)
+@query(NEXT + f""", p AS (SELECT *, (nx - px) AS ux, (ny - py) AS uy FROM n WHERE nx IS NOT NULL AND px IS NOT NULL)
 SELECT contour_id, seq, {fixed('coalesce(ux / nullif(sqrt(ux * ux + uy * uy), 0), 0)')} AS ux, {fixed('exp(-(ux * ux + uy * uy) / 2e6)')} AS g, {fixed('1 / (1 + exp((sqrt(ux * ux + uy * uy) - 500) / 500))')} AS len, {fixed('(1 - cos(atan2(uy, ux))) / 2')} AS ang FROM p""")
 def fitness_functions(spark, sf):
-    c = contours(spark, sf).withColumns({"nx": Q.following("x"), "ny": Q.following("y"), "px": Q.preceding("x"), "py": Q.preceding("y")}).where("nx IS NOT NULL AND px IS NOT NULL AND seq < 10")
+    c = contours(spark, sf).withColumns({"nx": Q.following("x"), "ny": Q.following("y"), "px": Q.preceding("x"), "py": Q.preceding("y")}).where("nx IS NOT NULL AND px IS NOT NULL")
     u = [F.col("nx") - F.col("px"), F.col("ny") - F.col("py")]
     n = c.select("contour_id", "seq", G.unit(u)[0].alias("ux"), F.exp(-G.dot(u, u) / 2e6).alias("g"), G.logistic_length(G.length(*u), 500).alias("len"), G.angle_term(F.atan2(u[1], u[0])).alias("ang"))
     return n.select("contour_id", "seq", *[fx(k, k) for k in ("ux", "g", "len", "ang")])

@@ -99,9 +99,9 @@ def covariance_inverse(spark, sf):
     return s.select("frame", fx("det", "det"), fx("1e4 * ixx", "ixx"), fx("1e4 * ixy", "ixy"), fx("1e4 * iyy", "iyy"))
 
 
-@query(f"WITH {SQL['features']}" + f" SELECT label, (i - 1)::INT AS i, (j - 1)::INT AS j, {fixed('covar_pop(vec[i], vec[j])')} AS cov FROM features, range(1, 5) a(i), range(1, 5) b(j) WHERE i <= j GROUP BY ALL")
+@query(f"WITH {SQL['features']}" + f" SELECT label, (i - 1)::INT AS i, (j - 1)::INT AS j, {fixed('covar_pop(vec[i], vec[j])')} AS cov FROM features, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
 def covariance_matrix(spark, sf):
-    return A.covariance_matrix(features(spark, sf), "label", "vec", 4).select("label", "i", "j", fx("cov", "cov"))
+    return A.covariance_matrix(features(spark, sf), "label", "vec").select("label", "i", "j", fx("cov", "cov"))
 
 
 @query(P + f""", r AS (SELECT frame, v, min(v) OVER (PARTITION BY frame) AS lo, max(v) OVER (PARTITION BY frame) AS hi FROM pixels),

@@ -28,8 +28,7 @@ def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frame, x, y, v``: a dense GRID x GRID image per day from the table's first to its last; v counts the events of a cell.
 
-    Events are counted first, so that what is completed to the full grid has frames * GRID * GRID rows at most. The SQL has
-    days 0 to FRAMES - 1.
+    Events are counted first, so that what is completed to the full grid has frames * GRID * GRID rows at most.
     """
     d = dots(spark, sf_dir).where("t IS NOT NULL")
     x, y = F.least((F.col("x") / 16).cast("int"), F.lit(GRID - 1)), (F.col("y") % GRID)
@@ -67,7 +66,7 @@ SQL = {
     "pixels": f"""cells AS (SELECT event_id, least(floor(value)::INT // 16, {GRID - 1}) AS x, ((user_id % 150) % {GRID})::INT AS y,
         date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS frame FROM events),
     pixels AS (SELECT f.frame::INT AS frame, gx.x::INT AS x, gy.y::INT AS y, count(c.event_id)::INT AS v
-        FROM range({FRAMES}) f(frame) CROSS JOIN range({GRID}) gx(x) CROSS JOIN range({GRID}) gy(y)
+        FROM (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM cells) f CROSS JOIN range({GRID}) gx(x) CROSS JOIN range({GRID}) gy(y)
         LEFT JOIN cells c ON c.frame = f.frame AND c.x = gx.x AND c.y = gy.y GROUP BY ALL)""",
     "contours": """contours AS (SELECT o_custkey AS contour_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq,
         date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)""",
