@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
-from tessella.plans.storage import release, stage
+from tessella.plans.storage import Rounds, release, stage
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -119,34 +119,30 @@ def all_pairs(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
 def levels(edges: DataFrame, seeds: DataFrame, max_level: int = 10_000) -> DataFrame:
     """``id, level``: breadth-first levels from the seeds (column id, level 0) along directed edges; a frontier join and an anti-join a round."""
     e = stage(edges.select("src", "dst").distinct(), "bfs-edges")
-    front = stage(seeds.select("id", F.lit(0).alias("level")).distinct(), "bfs")
-    seen = front
+    seen = Rounds(edges.sparkSession, "bfs")
+    front = seen.add(seeds.select("id", F.lit(0).alias("level")).distinct())
     for k in range(1, max_level + 1):
         reached = front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id")).distinct()
-        front = stage(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("level")), "bfs")
+        front = seen.add(reached.join(seen.all().select("id"), "id", "left_anti").select("id", F.lit(k).alias("level")))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    else:
-        raise RuntimeError(f"there are levels beyond {max_level}")
-    return seen
+            return seen.all()
+    raise RuntimeError(f"there are levels beyond {max_level}")
 
 
 def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``id, level``: longest path from a vertex without predecessors; vertices on cycles are left out (Kahn's peeling)."""
     e = stage(edges.select("src", "dst").distinct(), "topo-edges")
-    left = stage(vertices(e), "topo")
-    out = None
+    left, out = stage(vertices(e), "topo"), Rounds(edges.sparkSession, "topo-levels")
     for k in range(max_rounds):
-        ready = stage(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(k).alias("level")), "topo")
+        ready = out.add(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(k).alias("level")))
         if ready.isEmpty():
-            break
-        out = ready if out is None else out.unionByName(ready)
+            return out.all()
+        before = left, e
         left = stage(left.join(ready, "id", "left_anti"), "topo")
         e = stage(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"), "topo-edges")
-    else:
-        raise RuntimeError(f"there are levels beyond {max_rounds}")
-    return left.select("id", F.lit(0).alias("level")).limit(0) if out is None else out
+        for old in before:
+            release(old)
+    raise RuntimeError(f"there are levels beyond {max_rounds}")
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -154,7 +150,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     colour's own vertex backwards within the colour is its component; the rest goes on."""
     e = stage(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     left = stage(vertices(edges), "scc")
-    done = None
+    done = Rounds(edges.sparkSession, "scc-found")
+    done.add(left.select("id", F.col("id").alias("c")).limit(0))
     for _ in range(max_rounds):
         if left.isEmpty():
             break
@@ -162,17 +159,20 @@ def strong_components(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
         mark = None
         while mark != (mark := colour.agg(F.sum("c")).first()[0]):
             sent = e.join(colour, e["src"] == colour["id"]).select(F.col("dst").alias("id"), "c")
-            colour = stage(colour.union(sent).groupBy("id").agg(F.max("c").alias("c")), "scc-colour")
+            old, colour = colour, stage(colour.union(sent).groupBy("id").agg(F.max("c").alias("c")), "scc-colour")
+            release(old)
         src, dst = colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
         inner = stage(e.join(src, "src").join(dst, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-inner")
         back = levels(inner, colour.where("id = c").select("id"))
-        found = stage(back.join(colour, "id").select("id", "c"), "scc-found")
-        done = found if done is None else done.union(found)
+        found = done.add(back.join(colour, "id").select("id", "c"))
+        before = left, e, colour, inner
         left = stage(left.join(found, "id", "left_anti"), "scc")
-        gone = found.select("id")
-        e = stage(without_vertices(e, gone), "scc-edges")
+        e = stage(without_vertices(e, found.select("id")), "scc-edges")
+        for old in before:
+            release(old)
     else:
         raise RuntimeError(f"vertices are left after {max_rounds} rounds")
+    done = done.all()
     least = done.groupBy("c").agg(F.min("id").alias("component"))
     return done.join(least, "c").select("id", "component")
 
@@ -200,17 +200,16 @@ def grow(cells: DataFrame, width: int, height: int, steps: list[tuple[int, int]]
     """``frame, x, y, gen``: the iteration in which region growing reaches each empty cell (seeds: 1). Border seeds don't spread."""
     from tessella.operators.stencil import border, moved
 
-    seeds = stage(cells.select("frame", "x", "y", F.lit(1).alias("gen")).distinct(), "grow")
+    seen = Rounds(cells.sparkSession, "grow")
+    seeds = seen.add(cells.select("frame", "x", "y", F.lit(1).alias("gen")).distinct())
     front = seeds.where(~border(F.col("x"), F.col("y"), width, height))
-    seen = seeds
     for k in range(2, max_iter + 2):
         inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
         reached = moved(front, steps).where(inside).select("frame", "x", "y").distinct()
-        front = stage(reached.join(seen, ["frame", "x", "y"], "left_anti").withColumn("gen", F.lit(k)), "grow")
+        front = seen.add(reached.join(seen.all(), ["frame", "x", "y"], "left_anti").withColumn("gen", F.lit(k)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+    return seen.all()
 
 
 def flow_down(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -219,15 +218,15 @@ def flow_down(edges: DataFrame, start: DataFrame) -> DataFrame:
     degree = e.groupBy("src").agg(F.count("*").alias("n"))
     level = topological_levels(e)
     e = stage(e.join(degree, "src").join(level.select(F.col("id").alias("dst"), "level"), "dst").select("src", "dst", "n", "level"), "flow-edges")
-    now = stage(start.select("id", F.lit(1.0).alias("saliency")).distinct(), "flow")
+    out = Rounds(edges.sparkSession, "flow")
+    now = out.add(start.select("id", F.lit(1.0).alias("saliency")).distinct())
     top = e.agg(F.max("level")).first()[0] or 0
-    out = now
     for k in range(1, top + 1):
         ready = e.where(F.col("level") == k)
-        new = ready.join(out, ready["src"] == out["id"], "left").groupBy("dst").agg(F.sum(F.coalesce("saliency", F.lit(0.0)) / F.col("n")).alias("saliency"))
+        new = ready.join(out.all(), F.col("src") == F.col("id"), "left").groupBy("dst").agg(F.sum(F.coalesce("saliency", F.lit(0.0)) / F.col("n")).alias("saliency"))
         new = new.select(F.col("dst").alias("id"), "saliency").join(now.select("id"), "id", "left_anti")
-        out = out.unionByName(stage(new, "flow"))
-    return out
+        out.add(new)
+    return out.all()
 
 
 def merge_events(edges: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -250,11 +249,10 @@ def ancestors(links: DataFrame, depth: int) -> DataFrame:
     """
     links = stage(links.select("id", "asc").distinct(), "links")
     up = links.select(F.col("id").alias("anc"), "asc")
-    now = stage(links.select("id").union(links.select("asc")).distinct().select("id", F.lit(0).alias("gen"), F.col("id").alias("anc")), "ancestors")
-    out = now
+    out = Rounds(links.sparkSession, "ancestors")
+    now = out.add(links.select("id").union(links.select("asc")).distinct().select("id", F.lit(0).alias("gen"), F.col("id").alias("anc")))
     for k in range(1, depth):
-        now = stage(now.join(up, "anc").select("id", F.lit(k).alias("gen"), F.col("asc").alias("anc")).distinct(), "ancestors")
+        now = out.add(now.join(up, "anc").select("id", F.lit(k).alias("gen"), F.col("asc").alias("anc")).distinct())
         if now.isEmpty():
             break
-        out = out.union(now)
-    return out
+    return out.all()

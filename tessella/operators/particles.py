@@ -8,24 +8,23 @@ from pyspark.sql import functions as F
 from tessella.operators import graph as G
 from tessella.operators import stencil as S
 from tessella.operators.components import connected_components
-from tessella.plans.storage import stage
+from tessella.plans.storage import Rounds, stage
 
 
 def depth_generations(cells: DataFrame, width: int, height: int, max_gen: int = 10_000) -> DataFrame:
     """``cells`` (frame, x, y, id) with ``gen``: 1 on the surface (not on the image border, a 4-neighbour missing), then one more for each
     step inwards over 4-neighbours; cells that no surface reaches have generation 0."""
     n = S.neighbour_counts(cells).where(~S.border(F.col("x"), F.col("y"), width, height) & (F.col("n4") < 4))
-    front = stage(cells.join(n.select("frame", "x", "y"), ["frame", "x", "y"], "left_semi").withColumn("gen", F.lit(1)), "generations")
-    seen = front
+    seen = Rounds(cells.sparkSession, "generations")
+    front = seen.add(cells.join(n.select("frame", "x", "y"), ["frame", "x", "y"], "left_semi").select("frame", "x", "y", "id", F.lit(1).alias("gen")))
     for k in range(2, max_gen + 1):
         near = S.moved(front.select("frame", "x", "y"), S.offsets(2, "four")).select("frame", "x", "y").distinct()
-        front = stage(cells.join(near, ["frame", "x", "y"], "left_semi").join(seen.select("id"), "id", "left_anti").withColumn("gen", F.lit(k)), "generations")
+        front = seen.add(cells.join(near, ["frame", "x", "y"], "left_semi").join(seen.all().select("id"), "id", "left_anti").withColumn("gen", F.lit(k)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select(*seen.columns))
     else:
         raise RuntimeError(f"there are generations beyond {max_gen}")
-    return cells.join(seen.select("id", "gen"), "id", "left").fillna(0, ["gen"])
+    return cells.join(seen.all().select("id", "gen"), "id", "left").fillna(0, ["gen"])
 
 
 def descendants(cells: DataFrame) -> DataFrame:
@@ -49,17 +48,14 @@ def core_codes(cells: DataFrame, links: DataFrame, width: int, height: int) -> D
 
 def flow_labels(cells: DataFrame, links: DataFrame, cores: DataFrame, rounds: int = 10_000) -> DataFrame:
     """``id, label``: labels of ``cores`` (id, label) flow to ascendants, generation by generation; of several the least wins."""
-    now = stage(cores.select("id", "label"), "labels")
-    seen = now
+    seen = Rounds(cells.sparkSession, "labels")
+    now = seen.add(cores.select("id", "label"))
     for _ in range(rounds):
         new = links.join(now, links["desc"] == now["id"]).groupBy(F.col("asc").alias("id")).agg(F.min("label").alias("label"))
-        now = stage(new.join(seen.select("id"), "id", "left_anti"), "labels")
+        now = seen.add(new.join(seen.all().select("id"), "id", "left_anti"))
         if now.isEmpty():
-            break
-        seen = seen.unionByName(now)
-    else:
-        raise RuntimeError(f"labels still flow after {rounds} rounds")
-    return seen
+            return seen.all()
+    raise RuntimeError(f"labels still flow after {rounds} rounds")
 
 
 def inner_regions(cells: DataFrame, components: DataFrame, width: int, height: int) -> DataFrame:

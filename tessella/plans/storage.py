@@ -43,6 +43,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that a loop adds to, a folder a round: what a round adds is written once, and the whole is one scan however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.schema, self.count = spark, new_path(spark, name), None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the next round and return a scan of it; all rounds have the columns of the first."""
+        df = df if self.schema is None else df.select(*self.schema.names)
+        path = f"{self.path}/{self.count:06d}"
+        df.write.parquet(path)
+        self.schema, self.count = self.schema or df.schema, self.count + 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``stage`` wrote for ``df``; for rounds of a loop that nothing reads any more."""
     spark = df.sparkSession

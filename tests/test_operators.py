@@ -504,3 +504,18 @@ def test_stream_over_several_batches(spark, tmp_path):
     got = {tuple(r) for r in frames.run_once(frames.moving_cells(stream), "append").collect()}
     batch = joins.without_predecessor(spark.createDataFrame(rows, "frame int, x int, y int"))
     assert got == {(r.frame, r.x, r.y) for r in batch.collect()}
+
+
+def test_deep_graphs_keep_a_flat_plan(spark):
+    """Levels of a path: the plan is as large for the last vertex as for the first."""
+    from tessella.operators import graph as G
+
+    n = 24
+    edges = spark.createDataFrame([(i, i + 1, 1) for i in range(n)], "src bigint, dst bigint, w int")
+    found = G.levels(edges, spark.createDataFrame([(0,)], "id bigint"))
+    assert {(r.id, r.level) for r in found.collect()} == {(i, i) for i in range(n + 1)}
+    order = G.topological_levels(edges)
+    assert {(r.id, r.level) for r in order.collect()} == {(i, i) for i in range(n + 1)}
+    for df in (found, order):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Union" not in plan
