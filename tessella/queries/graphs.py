@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import graph as G
 from tessella.operators import hierarchy as H
 from tessella.operators import joins as J
+from tessella.operators import mesh as M
 from tessella.operators import stencil as S
 from tessella.operators.components import connected_components
 from tessella.plans.storage import stage
@@ -284,3 +285,43 @@ def saved_growth_regions(spark, sf):
     regions, forest, lines = growth_forest(spark, sf)
     rings = regions.groupBy(F.col("source").alias("id"), "gen").agg(F.count("*").alias("n"))
     return H.saved_regions(forest, lines, rings, 0.3).withColumn("measure", fx("measure", "measure"))
+
+
+_MESH_ROUNDS = 40
+#: a surface mesh over each frame's cells with events, their counts as heights
+_MESH = f"""WITH {SQL['pixels']}, c AS (SELECT frame, x, y, v, ((frame * {GRID} + y) * {GRID} + x)::BIGINT AS id FROM pixels WHERE v >= 1),
+q AS (SELECT o.frame, p0.id AS p0, p1.id AS p1, p2.id AS p2, p3.id AS p3 FROM (SELECT DISTINCT frame, x - i AS x, y - j AS y FROM c, range(2) a(i), range(2) b(j)) o
+  LEFT JOIN c p0 ON p0.frame = o.frame AND p0.x = o.x AND p0.y = o.y LEFT JOIN c p1 ON p1.frame = o.frame AND p1.x = o.x + 1 AND p1.y = o.y
+  LEFT JOIN c p2 ON p2.frame = o.frame AND p2.x = o.x AND p2.y = o.y + 1 LEFT JOIN c p3 ON p3.frame = o.frame AND p3.x = o.x + 1 AND p3.y = o.y + 1),
+f AS (SELECT frame, 2 * p0 AS face, p0 AS a, p1 AS b, p2 AS c FROM q WHERE p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL
+  UNION ALL SELECT frame, 2 * p1 + 1, p1, p3, p2 FROM q WHERE p1 IS NOT NULL AND p3 IS NOT NULL AND p2 IS NOT NULL),
+s AS (SELECT frame, face, a AS u, b AS v, c AS opp FROM f UNION ALL SELECT frame, face, b, c, a FROM f UNION ALL SELECT frame, face, c, a, b FROM f),
+e AS MATERIALIZED (SELECT s.*, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.v - q.v) * (p.v - q.v) AS l2 FROM s JOIN c p ON p.id = u JOIN c q ON q.id = s.v),
+a0 AS (SELECT face FROM f)""" + "".join(f""",
+h{k} AS MATERIALIZED (SELECT e.* FROM e JOIN a{k - 1} USING (face)), d{k} AS MATERIALIZED (SELECT h.* FROM h{k} h WHERE NOT EXISTS (SELECT 1 FROM h{k} t WHERE t.u = h.v AND t.v = h.u)),
+r{k} AS MATERIALIZED (SELECT max((l2, face)).face AS face FROM (SELECT {{'l2': l2, 'face': face}} AS s, * FROM d{k}) WHERE l2 > 2 AND opp NOT IN (SELECT u FROM d{k} UNION SELECT v FROM d{k}) GROUP BY opp),
+a{k} AS (SELECT face FROM a{k - 1} EXCEPT SELECT face FROM r{k})""".replace("max((l2, face)).face", "max(s).face") for k in range(1, _MESH_ROUNDS + 1)) + """,
+g AS (""" + " UNION ALL ".join(f"SELECT face, {k} AS step FROM r{k}" for k in range(1, _MESH_ROUNDS + 1)) + ")"
+
+
+def surface_mesh(spark, sf):
+    c = stage(cells(spark, sf).join(pixels(spark, sf).select("frame", "x", "y", F.col("v").alias("z")), ["frame", "x", "y"]), "cells")
+    faces = M.grid_mesh(c.select(F.col("frame").alias("mesh"), "id", "x", "y"))
+    return stage(M.half_edges(faces, c), "mesh")
+
+
+@query(_MESH + " SELECT frame AS mesh, f.face, step AS removed_at FROM f JOIN g USING (face)")
+def peeled_faces(spark, sf):
+    """Faces in the round in which they are taken off the mesh."""
+    return M.peel(surface_mesh(spark, sf), 2).select("mesh", "face", "removed_at")
+
+
+@query(_MESH + """, n AS (SELECT frame, 0 AS step FROM f GROUP BY ALL UNION SELECT frame, step FROM f JOIN g USING (face)),
+k AS (SELECT n.frame, n.step, f.face FROM n JOIN f USING (frame) LEFT JOIN g USING (face) WHERE coalesce(g.step, 9999) > n.step),
+b AS (SELECT k.frame, k.step, e.u, e.v FROM k JOIN e ON e.face = k.face)
+SELECT frame AS mesh, step, (SELECT count(*) FROM k WHERE k.frame = n.frame AND k.step = n.step) AS faces,
+       (SELECT count(*) FROM b x WHERE x.frame = n.frame AND x.step = n.step AND NOT EXISTS (SELECT 1 FROM b y WHERE y.frame = x.frame AND y.step = x.step AND y.u = x.v AND y.v = x.u)) AS boundary FROM n""")
+def mesh_states(spark, sf):
+    """Faces and boundary edges of every state that the mesh went through."""
+    mesh = surface_mesh(spark, sf)
+    return M.state_counts(mesh, stage(M.peel(mesh, 2), "peeled"))
