@@ -199,7 +199,8 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch("[0-9]{1,9}", text) else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
+    """The segments of archives (``parts``), or their whole records and what is wrong with them."""
     names = [x.split()[0] for x in _RAW.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -214,7 +215,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     error = None
                     if kind == "continuation" and not (origin and segment and segment > 1):
                         segment, block, error = None, None, "a continuation without its number or origin"
-                    elif segment is None:  # a whole record
+                    if (segment is not None) != parts:
+                        continue
+                    if segment is None and not error:  # a whole record
                         block, error = assemble([(None, None, block)], http, digest, kind != "revisit")
                     rows.append((origin or f.get("warc-record-id"), segment, _number(f.get("warc-segment-total-length")), kind, f.get("x-page-id"), f.get("x-refers-to-page-id"), digest, http, block, error))
                     size += len(block or b"")
@@ -222,7 +225,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield made(rows)
                         rows, size = [], 0
             except (ValueError, zlib.error) as e:
-                rows.append((None, None, None, None, None, None, None, None, None, f"{path}: {e}"))
+                if not parts:
+                    rows.append((None, None, None, None, None, None, None, None, None, f"{path}: {e}"))
             if rows:
                 yield made(rows)
 
@@ -293,11 +297,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     have their block as payload. Empty archives give no rows.
     """
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    # read once: whole records are decoded on the way, only segments are shuffled
-    raw = stage(archives.mapInArrow(_read, _RAW), "records")
+    # two scans, each of which gives out its own records only: whole records are decoded in place, segments are shuffled
+    whole, parts = (archives.mapInArrow(lambda it, k=k: _read(it, k), _RAW) for k in (False, True))
     out = "origin string, type string, page_id string, refers_to string, digest string, payload binary, error string"
-    whole = raw.where("segment IS NULL").select("origin", "type", "page_id", "refers_to", "digest", F.col("block").alias("payload"), "error")
-    parts = raw.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment")
+    whole = whole.select("origin", "type", "page_id", "refers_to", "digest", F.col("block").alias("payload"), "error")
+    parts = parts.repartition("origin").sortWithinPartitions("origin", "segment")
     return whole.unionByName(parts.mapInArrow(_join_segments, out)).withColumn("digest", F.regexp_replace("digest", "^sha256:", ""))
 
 
