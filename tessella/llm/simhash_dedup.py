@@ -46,10 +46,10 @@ PIVOTS = [(k * 0x9E3779B97F4A7C15 ^ k * k * 0xC2B2AE3D27D4EB4F) % 2**64 for k in
 SIMILARITY = 0.8
 SIMILAR_WIDTH = 5
 TABLES = 4
-NEAREST = 4
+NEAREST = 5
 NEAR_BITS = 20
 MIN_COSINE = 0.8
-CROWDED = 32
+CROWDED = 64
 HUBS = 2
 HUB_KEYS = 3
 EARLIER = 32
@@ -222,7 +222,7 @@ def marks_udf(longs: int = MARKS):
 
 def references_for(rows: int) -> int:
     """A power of two that grows with the square root of the rows, so that the number of texts that share a key by chance doesn't."""
-    return 1 << max(6, ceil(log2(4 * max(rows, 1)) / 2))
+    return 1 << max(6, ceil(log2(16 * max(rows, 1)) / 2))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
