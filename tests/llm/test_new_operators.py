@@ -251,7 +251,7 @@ def test_fit(spark):
 
 
 def test_votes_drop_junk_and_keep_clean_texts(spark, sf_dir):
-    """Against the labels, which no rule reads."""
+    """Against labels like those with which start and bounds of the model were chosen: no held-out figure."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     got = queries.QUERIES["op13_quality_rules"](spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/labels.parquet"), on="doc_id")
     assert len(got) > 300 and not (got.base_failed & got.kept).any()
